@@ -14,6 +14,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="worklode-checkpoint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="worklode-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{base.rstrip('/')}/worklode-{uuid.uuid4().hex}"
 
 
