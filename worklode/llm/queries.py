@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklode.llm import decontaminate, language_id, pii, quality, sharding, url_filter
+from worklode.llm import decontaminate, language_id, near_dedup, pii, quality, sharding, url_filter
 from worklode.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -36,7 +40,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op9_language_id)}
+    return {f.__name__: f for f in (op2_sharding, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
