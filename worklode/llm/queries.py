@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklode.llm import decontaminate, language_id, near_dedup, pii, quality, sharding, url_filter
+from worklode.llm import decontaminate, language_id, near_dedup, pii, quality, sharding, suffix_dedup, url_filter
 from worklode.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
