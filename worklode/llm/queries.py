@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklode.llm import decontaminate, language_id, near_dedup, pii, quality, sharding, suffix_dedup, url_filter
+from worklode.llm import decontaminate, language_id, near_dedup, packing, pii, quality, sentencepiece, sharding, suffix_dedup, url_filter
 from worklode.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_sentencepiece, op4_pii, op5_url_filter, op6_decontamination, op7_quality_rules, op8_minhash_near_dedup, op9_language_id, op10_token_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
