@@ -38,6 +38,8 @@ REGISTERS, ROWS, BANDS = 96, 4, 24
 BASE, LEVELS = 1.02, 2400
 #: Members of a bucket that one task compares at once.
 BLOCK = 512
+#: Bits of the filter that keeps sets without a candidate partner out of the exchange: 16 MB at most.
+FILTER_BITS = 27
 #: A pair whose estimate is this far below the threshold is over six standard errors away and not verified.
 MARGIN = 0.22
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -246,9 +248,64 @@ class Bucket:
                 yield from ((self.ids[k], least) for k in own if self.ids[k] != least)
 
 
+class Filter:
+    """A Bloom filter of ids: of at most 2 ** FILTER_BITS bits, so its broadcast is bounded; fuller ones only pass more."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def _places(ids: np.ndarray, size: int):
+        h = ids.astype(np.int64).view(np.uint64)
+        for k in range(4):
+            yield (mix64(h + np.uint64(k) * _P) & np.uint64(size - 1)).astype(np.int64)
+
+    @staticmethod
+    def of(ids: DataFrame, count: int) -> Filter:
+        size = 1 << min(FILTER_BITS, max(16, (16 * count).bit_length()))
+        page = min(size // 8, 1 << 15)
+
+        def mark(batches):
+            bits = np.zeros(size, bool)
+            for b in batches:
+                for at in Filter._places(np.array(b.column(0)), size):
+                    bits[at] = True
+            packed = np.packbits(bits)
+            pages = [(k, packed[k * page : (k + 1) * page]) for k in range(size // 8 // page)]
+            pages = [(k, p.tobytes()) for k, p in pages if p.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int32()), pa.array([p for _, p in pages], pa.binary())], ["page", "bits"])
+
+        def unite(key, t):
+            rows = [np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()]
+            return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+        out = np.zeros(size // 8, np.uint8)
+        for r in ids.mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(unite, "page int, bits binary").toLocalIterator():
+            out[r.page * page : (r.page + 1) * page] = np.frombuffer(bytes(r.bits), np.uint8)
+        return Filter(out)
+
+    def may_have(self, ids: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for at in self._places(ids, len(self.bits) * 8):
+            ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
 def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> DataFrame:
     """Verified links of (key, block, rep, s1, s2, query) rows; only a block's members are held at once."""
-    full = rows.join(table.select(F.col("doc_id").alias("rep"), "s1", "s2", "regs", "elements"), ["rep", "s1", "s2"])
+    wanted = rows.select("rep").distinct()
+    shared = rows.sparkSession.sparkContext.broadcast(Filter.of(wanted, wanted.count()))
+
+    def needed(batches):
+        for b in batches:
+            ids = b.column(0)
+            keep = np.zeros(len(ids), bool)
+            own = np.flatnonzero(np.array(ids.is_valid()))
+            keep[own] = shared.value.may_have(np.array(ids.drop_null()))
+            yield b.filter(pa.array(keep))
+
+    sets = table.select(F.col("doc_id").alias("rep"), "s1", "s2", "regs", "elements")
+    full = rows.join(sets.mapInArrow(needed, sets.schema), ["rep", "s1", "s2"])
     full = full.select("key", "block", "rep", "query", "regs", "elements").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
 
     def run(batches):
