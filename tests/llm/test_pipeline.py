@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(four[d].text == r.text for d, r in three.items() if not re.search("[0-9@]", r.text))
 
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, path).collect()}
-    assert set(out) == set(four) and all(r.lossless for r in out.values())
+    assert set(out) == set(four) and all(r.round_trip for r in out.values())
     enc = sp.Encoder(sp.Vocabulary.load())
     for d, r in out.items():
         assert enc.decode(sp.np.array(r.ids), sp.np.array([len(r.ids)]))[0].decode() == four[d].text

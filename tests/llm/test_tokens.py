@@ -78,7 +78,7 @@ def test_without_dropout_equals_the_library():
 def test_encode_decode_frames(spark):
     docs = documents()
     rows = sp.encode(frame(spark, docs), dropout=0.2).collect()
-    assert len(rows) == len(docs) and all(r.lossless for r in rows)
+    assert len(rows) == len(docs) and all(r.round_trip for r in rows)
     again = {r.doc_id: r.ids for r in sp.encode(frame(spark, docs).repartition(3), dropout=0.2).collect()}
     assert all(again[r.doc_id] == r.ids for r in rows)
     other = {r.doc_id: r.ids for r in sp.encode(frame(spark, docs), dropout=0.2, seed=4).collect()}
@@ -105,7 +105,7 @@ def test_best_fit_against_a_plain_search():
         assert sorted(40 - sum(lengths[i] for i in x) for x in rows) == sorted(room)
 
 
-def test_pack_is_lossless(spark):
+def test_pack_is_round_trip(spark):
     import tiktoken
 
     docs = documents()

@@ -1,4 +1,4 @@
-"""SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
+"""SentencePiece BPE encoding with seeded merge-dropout, and exact decoding.
 
 The vocabulary comes from a public model file (a parameter); nothing is
 trained. A text is a dummy space and its characters, spaces shown as one sign.
@@ -269,7 +269,7 @@ class Encoder:
 def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0.1, seed: int = 3, model_file: str = DEFAULT_MODEL) -> DataFrame:
     """doc id, n_tokens, ids, and whether decoding gave the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))  # a vocabulary's size
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
         e = Encoder(shared.value, dropout, seed)
