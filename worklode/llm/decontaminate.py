@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, materialize, text_slices
+from worklode.llm.common import bounded, column, materialize, text_slices
 
 #: Words are runs of ASCII letters and digits and of any non-ASCII character; A-Z is lower-cased.
 _FOLD = bytes(
@@ -234,7 +234,7 @@ def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataF
                 cols = [column(b, f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = bounded(out).mapInArrow(run, schema)
         if k + 1 < len(models):
             out = materialize(out)
     return out
@@ -272,7 +272,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_id="i
             cols = [pa.array(texts, pa.string()) if f.name == text_col else column(b, f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return m.mapInArrow(run, schema)
+    return bounded(m).mapInArrow(run, schema)
 
 
 def cut(text: bytes, spans: list[int]) -> bytes:

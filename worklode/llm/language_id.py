@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, text_slices
+from worklode.llm.common import bounded, column, text_slices
 
 #: Hash buckets for each n-gram length.
 DIM = 1 << 14
@@ -175,7 +175,7 @@ def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", tra
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["f", "n"])
 
     df = np.zeros(size + 1)
-    for r in base.select("t").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in bounded(base.select("t")).mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r.f] = r.n
     docs = df[size]
     if not docs:
@@ -195,7 +195,7 @@ def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", tra
     chosen = F.lit(False)
     for lang in langs:
         chosen = chosen | ((F.col("l") == lang) & (F.col("k") <= F.lit(cut[lang])))
-    rows = keyed.where(chosen).select("k", "l", "t").mapInArrow(sparse, "k long, l string, ids array<int>, vals array<double>").collect()
+    rows = bounded(keyed.where(chosen).select("k", "l", "t")).mapInArrow(sparse, "k long, l string, ids array<int>, vals array<double>").collect()
     rows.sort(key=lambda r: (r.k, r.l))
     data = [(np.array(r.ids, np.int64), np.array(r.vals) * idf[r.ids], langs.index(r.l)) for r in rows if r.ids]
     cal, fitted = data[::5], [x for i, x in enumerate(data) if i % 5] or data
@@ -219,7 +219,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col="text", lang_out="lan
             langs, p = m.score([t or "" for t in column(b, text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(p, pa.float64())], [*b.schema.names, lang_out, score_out])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def held_out(id_col="doc_id") -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, materialize, mix64, text_slices
+from worklode.llm.common import bounded, column, materialize, mix64, text_slices
 from worklode.llm.components import components
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ REGISTERS, ROWS, BANDS = 96, 4, 24
 #: Spacing of the register levels, and the highest level.
 BASE, LEVELS = 1.02, 2400
 #: Members of a bucket that one task compares at once.
-BLOCK = 512
+BLOCK = 256
 #: Bits of the filter that keeps sets without a candidate partner out of the exchange: 16 MB at most.
 FILTER_BITS = 27
 #: A pair whose estimate is this far below the threshold is over six standard errors away and not verified.
@@ -190,7 +190,7 @@ def sketch_table(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
                 ["doc_id", "n", "s1", "s2", "bands", "regs", "elements"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, _SKETCHED)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(run, _SKETCHED)
 
 
 class Bucket:
@@ -280,7 +280,7 @@ class Filter:
             return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
         out = np.zeros(size // 8, np.uint8)
-        for r in ids.mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(unite, "page int, bits binary").toLocalIterator():
+        for r in bounded(ids).mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(unite, "page int, bits binary").toLocalIterator():
             out[r.page * page : (r.page + 1) * page] = np.frombuffer(bytes(r.bits), np.uint8)
         return Filter(out)
 
@@ -305,7 +305,7 @@ def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> Data
             yield b.filter(pa.array(keep))
 
     sets = table.select(F.col("doc_id").alias("rep"), "s1", "s2", "regs", "elements")
-    full = rows.join(sets.mapInArrow(needed, sets.schema), ["rep", "s1", "s2"])
+    full = rows.join(bounded(sets).mapInArrow(needed, sets.schema), ["rep", "s1", "s2"])
     full = full.select("key", "block", "rep", "query", "regs", "elements").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
 
     def run(batches):
@@ -335,7 +335,7 @@ def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> Data
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+    return bounded(full).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = 85, block: int = BLOCK) -> DataFrame:

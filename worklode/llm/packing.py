@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, text_slices
+from worklode.llm.common import bounded, column, text_slices
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-splitting pattern of the byte-level vocabulary (a fixed value of that public file).
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", row: int = ROW, end:
         if ids:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))).mapInArrow(run, SCHEMA)
 
 
 def matrix(rows, row: int = ROW) -> np.ndarray:

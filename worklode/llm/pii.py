@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, text_slices
+from worklode.llm.common import bounded, column, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -315,7 +315,7 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([column(b, id_col), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col="text") -> DataFrame:
@@ -338,4 +338,4 @@ def redact(docs: DataFrame, text_col="text") -> DataFrame:
             texts = pa.array([clean(t, model) for t in column(b, text_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == text_col else column(b, n) for n in schema.names], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklode.llm.common import column, text_slices
+from worklode.llm.common import bounded, column, text_slices
 
 #: Shortest repeat (words) that counts for coverage; largest covered share of the words; longest single repeat as a share of the words, if also that many words.
 MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 10, 0.25, 0.20, 50
@@ -185,4 +185,4 @@ def assess(df: DataFrame, id_col="doc_id", text_col="text", max_covered=MAX_COVE
             bad = (m["n_covered_words"] > max_covered * n) | ((m["longest_repeat"] >= LONG_WORDS) & (m["longest_repeat"] > max_longest * n))
             yield pa.RecordBatch.from_arrays([column(b, id_col), *(pa.array(m[c], pa.int64()) for c in names), pa.array(failed), pa.array(~failed & ~bad)], [id_col, *names, "base_failed", "kept"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(df.select(id_col, text_col)).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, mix64, ranges, text_slices
+from worklode.llm.common import bounded, column, mix64, ranges, text_slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0
 
     def run(batches):
         e = Encoder(shared.value, dropout, seed)
-        for b, data, offs in text_slices(batches, text_col, 1 << 20):
+        for b, data, offs in text_slices(batches, text_col, 1 << 19):
             texts = [t or "" for t in column(b, text_col).to_pylist()]
             ids, counts = e.encode(texts, np.array(column(b, "_key").to_pylist(), np.int64))
             raw, o = data.tobytes(), offs.tolist()
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([column(b, id_col), pa.array(counts, pa.int64()), lists, pa.array(same)], schema.names)
 
-    return docs.select(id_col, text_col, F.xxhash64(F.col(id_col).cast("string")).alias("_key")).mapInArrow(run, schema)
+    return bounded(docs.select(id_col, text_col, F.xxhash64(F.col(id_col).cast("string")).alias("_key"))).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, id_col="doc_id", ids_col="ids", text_col="text", model_file: str = DEFAULT_MODEL) -> DataFrame:
@@ -296,4 +296,4 @@ def decode(tokens: DataFrame, id_col="doc_id", ids_col="ids", text_col="text", m
             texts = e.decode(np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64))
             yield pa.RecordBatch.from_arrays([column(b, id_col), pa.array([t.decode() for t in texts], pa.string())], schema.names)
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, schema)
+    return bounded(tokens.select(id_col, ids_col)).mapInArrow(run, schema)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import SLICE_BYTES, column, mix64, pack_sorted, pack_u64, ranges, text_slices, unpack_sorted, unpack_u64
+from worklode.llm.common import SLICE_BYTES, bounded, column, mix64, pack_sorted, pack_u64, ranges, text_slices, unpack_sorted, unpack_u64
 
 LENGTH, K = 50, 16
 #: Bytes of text in a group, and windows that a bucket sorts at once.
@@ -210,7 +210,7 @@ def _sample_splitters(docs: DataFrame, id_col: str, text_col: str, buckets: int,
             # signed order of the flipped word is the byte order
             yield pa.RecordBatch.from_arrays([pa.array((v[at + s].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)) for s in (0, 8)], ["a", "b"])
 
-    tokens = base.where(F.pmod("r", F.lit(50)) == 0).mapInArrow(run, "a long, b long")
+    tokens = bounded(base.where(F.pmod("r", F.lit(50)) == 0)).mapInArrow(run, "a long, b long")
     picked = tokens.orderBy(F.xxhash64("a", "b")).limit(20_000).collect()  # a bounded sample: it only balances
     picked = sorted((r.a, r.b) for r in picked)
     return [picked[len(picked) * i // buckets] for i in range(1, buckets)] if picked else []
@@ -268,7 +268,7 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         out = [(g, pack_sorted(v[keep])) for g, v in zip(gs, lists, strict=True) if (keep := _in_sorted(v, again)).any()]
         return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
-    marks = grouped.mapInArrow(report, "bucket int, g int, hashes binary, twice binary").groupBy("bucket").applyInArrow(repeated, "g int, hashes binary")
+    marks = bounded(grouped).mapInArrow(report, "bucket int, g int, hashes binary, twice binary").groupBy("bucket").applyInArrow(repeated, "g int, hashes binary")
     splitters = _sample_splitters(docs, id_col, text_col, buckets)
     split_a = (np.array([a for a, _ in splitters], np.int64)).view(np.uint64) ^ np.uint64(1 << 63)
     split_b = (np.array([b for _, b in splitters], np.int64)).view(np.uint64) ^ np.uint64(1 << 63)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import column, text_slices
+from worklode.llm.common import bounded, column, text_slices
 
 #: (verdict, host, path) of the contract.
 RULES = (
@@ -131,7 +131,7 @@ def fit(ruled: DataFrame, text="s", verdict="verdict", key="u") -> UrlModel:
         own = np.flatnonzero(kinds.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, own + flat.size]), pa.array(np.r_[flat[at], np.zeros(len(own), np.int64)]), pa.array([None] * len(at) + [kinds[i].tobytes() for i in own], pa.binary())], ["i", "n", "b"])
 
-    parts = ruled.where(~F.col("cal")).select(text, "c").mapInArrow(count, "i long, n long, b binary")
+    parts = bounded(ruled.where(~F.col("cal")).select(text, "c")).mapInArrow(count, "i long, n long, b binary")
     words = [F.expr(f"bit_or(cast(conv(hex(substring(b, {8 * w + 1}, 8)), 16, -10) as bigint))").alias(f"w{w}") for w in range(4)]
     rows = parts.groupBy("i").agg(F.sum("n").alias("n"), *words)
     kinds = sum((F.coalesce(F.bit_count(f"w{w}"), F.lit(0)) for w in range(4)), F.lit(0))
@@ -158,7 +158,7 @@ def fit(ruled: DataFrame, text="s", verdict="verdict", key="u") -> UrlModel:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * _BINS)), pa.array(h.reshape(-1))], ["i", "n"])
 
     h = np.zeros(2 * _BINS)
-    for r in ruled.where("cal").select(text, "c").mapInArrow(histogram, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in bounded(ruled.where("cal").select(text, "c")).mapInArrow(histogram, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
         h[r.i] = r.n
     accepted, rejected = h.reshape(2, _BINS)
     wrong = np.r_[0, np.cumsum(accepted)] / max(accepted.sum(), 1) + (rejected.sum() - np.r_[0, np.cumsum(rejected)]) / max(rejected.sum(), 1)
@@ -182,4 +182,4 @@ def judge(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES) -> Dat
             v = [x or ("allow" if o else "block") for x, o in zip(column(b, "verdict").to_pylist(), ok, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) if n == "verdict" else column(b, n) for n in schema.names], schema.names)
 
-    return df.drop("u").mapInArrow(run, schema)
+    return bounded(df.drop("u")).mapInArrow(run, schema)
