@@ -258,7 +258,7 @@ class Filter:
     def _places(ids: np.ndarray, size: int):
         h = ids.astype(np.int64).view(np.uint64)
         for k in range(4):
-            yield (mix64(h + np.uint64(k) * _P) & np.uint64(size - 1)).astype(np.int64)
+            yield (mix64(h + np.uint64(k * int(_P) % 2**64)) & np.uint64(size - 1)).astype(np.int64)
 
     @staticmethod
     def of(ids: DataFrame, count: int) -> Filter:

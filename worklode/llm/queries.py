@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklode.llm import decontaminate, language_id, near_dedup, packing, pii, quality, sentencepiece, sharding, suffix_dedup, url_filter
 from worklode.llm.common import table
+from worklode.llm.oracles import SQL
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
