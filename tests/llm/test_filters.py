@@ -164,7 +164,9 @@ def test_decontamination_matches_brute_force(spark):
 def test_decontaminate_removes_spans(spark):
     item = " ".join(f"b{i}" for i in range(12))
     docs = [(1, f"Start here {item.upper()} the end of it, with more words than the item has.", "en", "s", 1), (2, item, "en", "s", 1), (3, "clean", "en", "s", 1), (4, None, "en", "s", 1)]
-    out = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    named = frame(spark, docs).withColumns({"n_words": decontaminate.F.lit(-1), "_windows": decontaminate.F.lit("w"), "_Items": decontaminate.F.lit("i")})
+    out = {r.doc_id: r for r in decontaminate.decontaminate(named, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert all((r.n_words, r._windows, r._Items) == (-1, "w", "i") for r in out.values())
     assert set(out) == {1, 3, 4} and out[1].text == "Start here  the end of it, with more words than the item has." and out[4].text is None
 
 

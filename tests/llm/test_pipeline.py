@@ -13,9 +13,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     docs[40][1] = f"{docs[40][1]} {item} {docs[41][1]}"
     docs[42][1] = item
     docs[43][0] = None
-    rows = [(*d, "x") for d in docs]
+    rows = [(*d, "x", "y") for d in docs]
     path = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, _lang_pred string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
 
     table = spark.read.parquet(f"{path}/documents.parquet")
@@ -26,6 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     want = [d[0] for d, lang, s in zip(docs, langs, scores, strict=True) if lang != "und" and s >= 0.5]
     assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in one)
 
+    assert all(r._lang_pred == "y" for r in one)
     kept = spark.createDataFrame(one, table.schema)
     two = stage["near_dedup"](spark, kept, path).collect()
     comp = brute_components([(r.doc_id, r.text) for r in one if r.doc_id is not None])

@@ -57,6 +57,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with as many underscores as it takes to clash with no column."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def partitions_for(total_bytes: int, target: int, least: int = 1) -> int:
     return max(least, -(-int(total_bytes or 0) // target))
 

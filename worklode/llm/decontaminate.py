@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import bounded, column, materialize, text_slices
+from worklode.llm.common import bounded, column, free_name, materialize, text_slices
 
 #: Words are runs of ASCII letters and digits and of any non-ASCII character; A-Z is lower-cased.
 _FOLD = bytes(
@@ -203,15 +203,16 @@ def automata(items: DataFrame, id_col="item_id", text_col="text", window=10, max
     return [*out, ItemAutomaton(batch, window)]
 
 
-_SPANS = "_windows"
-_ITEMS = "_items"
+def mark_names(columns) -> tuple[str, str, str]:
+    """Names of what ``mark`` adds: number of words, hit runs, items; other names where a table has these."""
+    return free_name("n_words", columns), free_name("_windows", columns), free_name("_items", columns)
 
 
 def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataFrame:
-    """``docs`` with n_words, the hit runs of words (start, end) and the item ids found."""
-    spark = docs.sparkSession
-    kept = [f for f in docs.schema.fields if f.name not in (_SPANS, _ITEMS, "n_words")]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField(_SPANS, T.ArrayType(T.IntegerType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
+    """``docs`` with the number of words, the hit runs of words (start, end) and the item ids found."""
+    spark, kept = docs.sparkSession, docs.schema.fields
+    count, spans_col, items_col = mark_names(docs.columns)
+    schema = T.StructType([*kept, T.StructField(count, T.LongType()), T.StructField(spans_col, T.ArrayType(T.IntegerType())), T.StructField(items_col, T.ArrayType(T.StringType()))])
     out = docs.select(*[f"`{f.name}`" for f in kept])
     for k, model in enumerate(models):
         shared = spark.sparkContext.broadcast(model)  # of at most max_item_bytes of items
@@ -221,8 +222,8 @@ def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataF
             for b, data, offs in text_slices(batches, text_col):
                 raw, o = data.tobytes(), offs.tolist()
                 sizes, masks, names = m.scan([raw[x:y] for x, y in zip(o[:-1], o[1:], strict=True)])
-                old = column(b, _SPANS).to_pylist() if k else [None] * len(masks)
-                had = column(b, _ITEMS).to_pylist() if k else [None] * len(masks)
+                old = column(b, spans_col).to_pylist() if k else [None] * len(masks)
+                had = column(b, items_col).to_pylist() if k else [None] * len(masks)
                 spans, found = [], []
                 for i, mask in enumerate(masks):
                     if old[i]:
@@ -242,15 +243,17 @@ def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataF
 
 def digest(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window=10) -> DataFrame:
     """Counts per document: words, hit words, items."""
-    m = mark(docs.select(id_col, text_col), automata(items, item_id, item_text, window), text_col)
-    ends = F.expr(f"aggregate({_SPANS}, 0L, (a, x) -> x - a)")  # end - (start - earlier sum): alternating sum
+    docs = docs.select(id_col, text_col)
+    count, spans_col, items_col = mark_names(docs.columns)
+    m = mark(docs, automata(items, item_id, item_text, window), text_col)
+    ends = F.expr(f"aggregate({spans_col}, 0L, (a, x) -> x - a)")  # end - (start - earlier sum): alternating sum
     return m.select(
         id_col,
-        "n_words",
+        F.col(count).alias("n_words"),
         ends.alias("n_hit"),
-        F.size(_ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.array_join(_ITEMS, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size(_SPANS) > 0).alias("contaminated"),
+        F.size(items_col).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_col, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(spans_col) > 0).alias("contaminated"),
     )
 
 
@@ -258,11 +261,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_id="i
     """Documents without the hit spans of words (every hit run is ``window`` words or a whole short item, the length
     limit); those with more than ``max_coverage`` of their words hit go. Columns as in ``docs``."""
     schema = docs.schema
+    count, spans_col, items_col = mark_names(docs.columns)
     m = mark(docs, automata(items, item_id, item_text, window), text_col)
 
     def run(batches):
         for b in batches:
-            spans, n = column(b, _SPANS).to_pylist(), column(b, "n_words").to_pylist()
+            spans, n = column(b, spans_col).to_pylist(), column(b, count).to_pylist()
             texts, keep = column(b, text_col).to_pylist(), []
             for i, s in enumerate(spans):
                 hit = sum(y - x for x, y in zip(s[::2], s[1::2], strict=True))
