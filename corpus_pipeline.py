@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklode.llm import decontaminate, language_id, near_dedup, pii, sentencepiece
-from worklode.llm.common import materialize, table
+from worklode.llm.common import free_name, materialize, table
 
 #: Documents whose language is undetermined, or more doubtful than this, are rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -23,8 +23,9 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
-    judged = language_id.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    return judged.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name("_lang_pred", docs.columns), free_name("_lang_score", docs.columns)
+    judged = language_id.identify(docs, model, lang_out=lang, score_out=score)
+    return judged.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
