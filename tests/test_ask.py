@@ -17,7 +17,8 @@ def test_batch_of_asks(spark):
         {"question": "anything", "project": "other/repo"},
         {"question": "which library for jwt"},
     )
-    hits = A.ask(req, ix).collect()
+    packed = A.cut(A.ask(req, ix))
+    hits = packed.collect()
     by = {}
     for h in sorted(hits, key=lambda h: h["rank"]):
         by.setdefault(h.request_id, []).append(h)
@@ -27,7 +28,7 @@ def test_batch_of_asks(spark):
     assert "S2" in {h.id for h in by["r4"]}, "jwt and jsonwebtoken are one identifier"
     assert len(by["r2"]) == len({h.id for h in by["r2"]}) and by["r2"][0].type == "failed"
     assert all(len(v) <= S.PACK_CAP for v in by.values())
-    out = {r.request_id: r for r in A.responses(A.ask(req, ix)).collect()}
+    out = {r.request_id: r for r in A.responses(packed).collect()}
     assert out["r0"].warnings and out["r0"].tokens > 20 and [c.id for c in out["r0"].context][0] == "S1"
 
 
