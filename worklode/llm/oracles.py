@@ -30,4 +30,19 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_id ON least_id.a = d.doc_id
 """
 
-SQL = {"op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+  m AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
+  r AS (SELECT DISTINCT w.doc_id, i FROM w JOIN m ON w.s = m.s WHERE m.m < w.doc_id),
+  g AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+  runs AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY 1, 2),
+  parts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs
+    UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(length(h) // 2) FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id GROUP BY 1),
+  kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s, e) AS x FROM d JOIN parts ON parts.doc_id = d.doc_id GROUP BY 1),
+  n AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+SQL = {"op1_suffix_dedup": SUBSTRINGS, "op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}

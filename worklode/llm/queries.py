@@ -11,7 +11,7 @@ from worklode.llm.oracles import SQL
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
