@@ -21,7 +21,7 @@ are ignored by ``encode``.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +80,10 @@ class Vocabulary:
         return v
 
     def _build(self, inside) -> None:
-        bits = max(10, (4 * len(self.merges)).bit_length())
+        bits = max(10, (2 * len(self.merges)).bit_length())
         self.slots = np.full(1 << bits, -1, np.int64)
-        self.slot_rank = np.zeros(1 << bits, np.int64)
-        self.slot_piece = np.zeros(1 << bits, np.int64)
+        self.slot_rank = np.zeros(1 << bits, np.int32)
+        self.slot_piece = np.zeros(1 << bits, np.int32)
         keys = np.array(list(self.merges), np.int64)
         home = self._home(keys)
         for k, h, (r, p) in zip(keys.tolist(), home.tolist(), self.merges.values(), strict=True):
@@ -100,6 +100,10 @@ class Vocabulary:
     def _home(self, keys):
         return (keys.astype(np.uint64) * _MUL >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
 
+    def packed(self) -> Vocabulary:
+        """What workers need: the merges in their slots only."""
+        return replace(self, merges={})
+
     @staticmethod
     def _pair_slot(a, b):
         return (((a << 20) + b).astype(np.uint64) * _MUL >> np.uint64(64 - _CROSS_BITS)).astype(np.int64)
@@ -128,7 +132,7 @@ class Encoder:
         self.v = vocabulary
         self.cut = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         self.seed = np.uint64(seed * int(_MUL) % 2**64)
-        self.table = np.full(0x110000, -1, np.int64)
+        self.table = np.full(0x110000, -1, np.int32)
         for c, i in vocabulary.chars.items():
             self.table[c] = i
         self.table[32] = vocabulary.chars[ord(SPACE)]
@@ -186,7 +190,7 @@ class Encoder:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         first = np.cumsum(sizes) - sizes
-        sym = self.table[cp]
+        sym = self.table[cp].astype(np.int64)
         n = len(sym)
         doc = np.repeat(np.arange(n_docs), sizes)
         pos = np.arange(n) - first[doc]
@@ -268,12 +272,12 @@ class Encoder:
 
 def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0.1, seed: int = 3, model_file: str = DEFAULT_MODEL) -> DataFrame:
     """doc id, n_tokens, ids, and whether decoding gave the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))  # a vocabulary's size
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file).packed())  # a vocabulary's size
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
         e = Encoder(shared.value, dropout, seed)
-        for b, data, offs in text_slices(batches, text_col, 1 << 19):
+        for b, data, offs in text_slices(batches, text_col, 1 << 18):
             texts = [t or "" for t in column(b, text_col).to_pylist()]
             ids, counts = e.encode(texts, np.array(column(b, "_key").to_pylist(), np.int64))
             raw, o = data.tobytes(), offs.tolist()
@@ -286,7 +290,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0
 
 def decode(tokens: DataFrame, id_col="doc_id", ids_col="ids", text_col="text", model_file: str = DEFAULT_MODEL) -> DataFrame:
     """doc id and text."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file).packed())
     schema = T.StructType([tokens.schema[id_col], T.StructField(text_col, T.StringType())])
 
     def run(batches):
