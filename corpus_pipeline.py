@@ -15,6 +15,8 @@ from worklode.llm.common import free_name, materialize, table
 
 #: Documents whose language is undetermined, or more doubtful than this, are rejected.
 MIN_LANGUAGE_SCORE = 0.5
+#: Word-shingle similarity from which two documents are near copies (op8's own contract has 85).
+NEAR_PERCENT = 80
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null doc_id stay; repeated rows of a kept document leave one."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -1,7 +1,8 @@
+import random
 import re
 
 import corpus_pipeline
-from tests.llm.fixtures import documents
+from tests.llm.fixtures import documents, frame
 from tests.llm.test_near_dedup import brute_components
 from worklode.llm import language_id, pii
 from worklode.llm import sentencepiece as sp
@@ -45,3 +46,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     enc = sp.Encoder(sp.Vocabulary.load())
     for d, r in out.items():
         assert enc.decode(sp.np.array(r.ids), sp.np.array([len(r.ids)]))[0].decode() == four[d].text
+
+
+def test_near_dedup_stage_links_from_80_percent(spark, tmp_path):
+    r = random.Random(12)
+    rows = []
+    for i in range(0, 60, 2):
+        w = [f"w{r.randint(0, 9999)}" for _ in range(60)]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        w[30] = "other"
+        if i % 4:
+            w[20] = "more"
+        rows.append((i + 1, " ".join(w), "en", "s", 0))  # 51 of 61 shingles (0.836), or 46 of 66 (0.697)
+    want = {d for d, (_, c) in brute_components(rows, 80).items() if d == c}
+    assert len(want) == 45 and len({c for _, c in brute_components(rows).values()}) == 60
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in got) == sorted(want)

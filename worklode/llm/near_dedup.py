@@ -6,7 +6,7 @@ spaced level of the element minima (mergeable by maximum); equal registers are
 the more frequent the more similar two sets are. Equal sets collapse first to
 their least doc_id. The rest meet in buckets of ``ROWS`` equal registers in one
 of ``BANDS`` bands (a pair at the threshold meets in none with probability under
-3e-8). In a bucket, pairs are estimated by the joint likelihood of the register
+3e-8 at 85 percent and about 3e-6 at 80). In a bucket, pairs are estimated by the joint likelihood of the register
 comparison, those within reach of the threshold are verified on the full sets
 (48-bit hashes), and the links come out as stars, never as all pairs.
 
@@ -40,8 +40,8 @@ BASE, LEVELS = 1.02, 2400
 BLOCK = 256
 #: Bits of the filter that keeps sets without a candidate partner out of the exchange: 16 MB at most.
 FILTER_BITS = 27
-#: A pair whose estimate is this far below the threshold is over six standard errors away and not verified.
-MARGIN = 0.22
+#: A pair whose estimate is this many standard errors below the threshold is not verified.
+MARGIN = 6.1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -222,7 +222,7 @@ class Bucket:
             return i
 
         group = np.arange(self.n)  # flat labels, for whole-array tests
-        cut = percent / 100 - MARGIN
+        cut = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
         for i in range(self.n) if self.query is None else self.query:
             other = np.flatnonzero(group != group[i])
             if self.query is None:
