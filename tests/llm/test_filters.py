@@ -124,6 +124,39 @@ def test_url_ratio_separates_and_matches_a_scalar_model(spark):
     assert 0 < kinds <= 40 and model.counts[0, 0, 0].sum() < sum(len(rows[u][1]) for u in held)
 
 
+def test_url_counts_are_exact_beyond_any_fixed_table(spark):
+    r = random.Random(9)
+    text = lambda voc: "".join(r.choice(voc) for _ in range(r.randint(0, 50)))
+    low, high = [chr(c) for c in range(33, 90)], [chr(c) for c in range(60, 126)] + ["é"]
+    rows = [(i, text(low if i % 2 else high), "allow" if i % 2 else "block") for i in range(3000)]
+    df = spark.createDataFrame(rows, "u long, s string, verdict string")
+    model = url_filter.fit(df)
+    counted = df.where("pmod(xxhash64(5, u), 5) <> 0").collect()
+    tables = {v: [{} for _ in range(5)] for v in ("allow", "block")}
+    for row in counted:
+        b = row.s.encode()
+        for i in range(len(b)):
+            for k in range(5):
+                seen = tables[row.verdict][k].setdefault((b[max(0, i - k) : i], i < k), Counter())
+                seen[b[i]] += 1
+    assert sum(len(c) for c in tables["allow"][4].values()) > 1 << 14
+
+    def brute(b):
+        s = 0.0
+        for i in range(len(b)):
+            for v, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k in range(5):
+                    if seen := tables[v][k].get((b[max(0, i - k) : i], i < k)):
+                        p = (seen[b[i]] + len(seen) * p) / (seen.total() + len(seen))
+                s += sign * np.log(p)
+        return s / max(len(b), 1)
+
+    texts = [x[1].encode() for x in rows[:150]] + [text(low + high).encode() for _ in range(50)] + [b"", "𐍈".encode()]
+    got = model.ratio(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, [brute(b) for b in texts], rtol=0, atol=1e-9)
+
+
 # -- decontamination -----------------------------------------------------------
 def brute_hits(t, items, window=10):
     fold = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))

@@ -2,10 +2,13 @@
 
 Two variable-order Markov models (orders 0 to ``ORDER``, each order smoothed
 into the next lower one by Witten-Bell weights) are counted over the URLs that
-the rules accept and reject, all of them, in hashed tables of fixed size. A URL
-without a rule is judged by the difference of its two log-likelihoods per
-character against a threshold calibrated on a fifth of the ruled URLs that the
-counting leaves out.
+the rules accept and reject, all of them. The counts are exact: a context and
+its byte are one integer, and they stay a distributed table that grows with the
+distinct grams; nothing of it is gathered but order 0 (256 bytes). URLs are
+scored in slices of bounded size: the distinct grams of a slice are joined with
+the counts, so a frequent gram costs one row a slice. A URL without a rule is
+judged by the difference of its two log-likelihoods per character against a
+threshold calibrated on a fifth of the ruled URLs that the counting leaves out.
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and no rule; an empty host and path carry no evidence and are allowed; if no
@@ -15,15 +18,16 @@ allows; ties at the threshold are allowed; repeated rows each get a verdict.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklode.llm.common import bounded, column, text_slices
+from worklode.llm.common import SLICE_BYTES, bounded, column, free_name, materialize, text_slices
 
 #: (verdict, host, path) of the contract.
 RULES = (
@@ -34,8 +38,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 ORDER = 4
-#: Hash buckets for each order: the size of what is gathered and broadcast is fixed.
-BUCKETS = 1 << 14
+#: Bits of a symbol: 0 before the URL's start, else the byte and one. The current byte is lowest, then the one before it, and so on.
+_BITS = 9
+#: Bytes counted at once by a task.
+_HELD = 1 << 20
 _BINS = 400
 _SPAN = 4.0
 
@@ -59,49 +65,109 @@ def apply_rules(df: DataFrame, rules=RULES, host="host", path="path") -> tuple[C
     return rule, verdict
 
 
-def _contexts(data: np.ndarray, offs: np.ndarray):
-    """For each order: (context bucket, context-and-byte bucket) of each byte; the URL's start is a context of its own."""
-    n = len(data)
-    lens = np.diff(offs)
-    pos = np.arange(n) - np.repeat(offs[:-1], lens)
-    x = data.astype(np.uint64) + np.uint64(2)
-    h = np.zeros(n, np.uint64)
-    m = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(ORDER + 1):
-        if k:
-            before = np.zeros(n, np.uint64)
-            before[k:] = x[:-k] if k <= n else 0
-            h = (h + np.where(pos >= k, before, np.uint64(1))) * m
-            h ^= h >> np.uint64(31)
-        g = (h ^ (x * np.uint64(0xC2B2AE3D27D4EB4F))) * m
-        yield (h * m >> np.uint64(50)).astype(np.int64), (g >> np.uint64(50)).astype(np.int64)
+def _grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER symbols before it; the URL's start is a context of its own."""
+    pos = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+    x = data.astype(np.int64) + 1
+    g = x.copy()
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(x), np.int64)
+        before[k:] = x[:-k]
+        g |= np.where(pos >= k, before, 0) << (_BITS * k)
+    return g
+
+
+def _suffix(g, k: int) -> Column:
+    """The gram of order ``k`` that ends a gram of a higher order."""
+    return F.col(g).bitwiseAND(F.lit((1 << (_BITS * (k + 1))) - 1))
+
+
+def _orders(g="g") -> Column:
+    return F.inline(F.array(*(F.struct(F.lit(k).alias("k"), _suffix(g, k).alias("g")) for k in range(ORDER + 1))))
+
+
+def _slices(df: DataFrame, text: str) -> DataFrame:
+    """Rows of ``df`` packed in slices of bounded size, with the distinct grams of each; written once, so a slice's number is fixed."""
+
+    def run(batches):
+        name, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def pack():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0][0].schema) as out:
+                for b, _ in held:
+                    out.write_batch(b)
+            grams = np.unique(np.concatenate([g for _, g in held]))
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams))], ["slice", "rows", "grams"])
+
+        for b, data, offs in text_slices(batches, text):
+            if held and size + b.nbytes > SLICE_BYTES:
+                yield pack()
+                name, held, size = name + 1, [], 0
+            held.append((b, np.unique(_grams(data, offs))))
+            size += b.nbytes
+        if held:
+            yield pack()
+
+    return materialize(bounded(df).mapInArrow(run, "slice long, rows binary, grams array<long>"))
 
 
 @dataclass
 class UrlModel:
-    """counts[class, order, table]: 0 context totals, 1 context-and-byte counts, 2 distinct bytes of a context."""
+    """grams: exact (k, g, n0, n1) of every order and gram in either class, distributed.
 
+    counts[class, 0, table] is order 0 of it: 0 the total, 1 counts of bytes, 2 the number of distinct bytes.
+    """
+
+    grams: DataFrame
     counts: np.ndarray
     threshold: float = 0.0
     usable: bool = True
-    weights: list = field(default_factory=list)
+
+    def gram_scores(self, grams: DataFrame) -> DataFrame:
+        """(g, score) of each distinct full gram: difference of the two log-probabilities of its byte after its context."""
+        wanted = grams.distinct().select(_orders()).distinct().select("k", "g", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"), F.lit(True).alias("wanted"))
+        both = self.grams.withColumn("wanted", F.lit(False)).unionByName(wanted).groupBy("k", "g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("wanted").alias("wanted"))
+        context = Window.partitionBy("k", F.shiftright("g", _BITS))  # at most 256 rows
+        both = both.withColumns({f"{x}{c}": f.over(context) for c in (0, 1) for x, f in (("t", F.sum(f"n{c}")), ("u", F.count_if(F.col(f"n{c}") > 0)))})
+        both = materialize(both.where("wanted"))
+        found = None
+        for k in range(ORDER + 1):
+            own = both.where(F.col("k") == k)
+            if found is None:
+                own = own.withColumns({f"p{c}": F.lit(1 / 256) for c in (0, 1)})
+            else:
+                found = found.withColumnRenamed("g", "lower")  # at most 65,536 rows up to order 1; larger ones are not broadcast
+                own = own.withColumn("lower", _suffix("g", k - 1)).join(found.hint("merge") if k > 2 else found, "lower")
+            p = [F.when(F.col(f"t{c}") > 0, (F.col(f"n{c}") + F.col(f"u{c}") * F.col(f"p{c}")) / (F.col(f"t{c}") + F.col(f"u{c}"))).otherwise(F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]
+            found = own.select("g", *p)
+        return found.select("g", (F.ln("p0") - F.ln("p1")).alias("score"))
+
+    def ratios(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """``df`` with the length-normalised difference of log-likelihoods, accepted minus rejected, as ``out``."""
+        slices = _slices(df, text)
+        parts = slices.select("slice", F.explode("grams").alias("g"))
+        scores = parts.join(self.gram_scores(parts.select("g")).hint("merge"), "g").select("slice", "g", "score")
+
+        def run(left, right):
+            order = np.argsort(g := np.array(right.column("g")))
+            g, score = g[order], np.array(right.column("score"))[order]
+            done = []
+            for blob in left.column("rows"):
+                for b, data, offs in text_slices(iter(pa.ipc.open_stream(blob.as_buffer())), text):
+                    s = np.r_[0.0, np.cumsum(score[np.searchsorted(g, _grams(data, offs))])]
+                    r = (s[offs[1:]] - s[offs[:-1]]) / np.maximum(np.diff(offs), 1)
+                    done.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, out]))
+            return pa.Table.from_batches(done)
+
+        schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+        return slices.select(F.col("slice").alias("own"), "rows").groupBy("own").cogroup(scores.groupBy("slice")).applyInArrow(run, schema)
 
     def ratio(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Length-normalised difference of log-likelihoods, accepted minus rejected."""
-        n = len(offs) - 1
-        if not len(data):
-            return np.zeros(n)
-        both = []
-        tables = list(_contexts(data, offs))
-        for c in (0, 1):
-            p = np.full(len(data), 1 / 256)
-            for k, (ctx, gram) in enumerate(tables):
-                total, count, kinds = (self.counts[c, k, i] for i in range(3))
-                t, u = total[ctx], kinds[ctx]
-                p = np.where(t > 0, (np.minimum(count[gram], t) + u * p) / np.maximum(t + u, 1), p)
-            both.append(np.log(p))
-        s = np.r_[0.0, np.cumsum(both[0] - both[1])]
-        return (s[offs[1:]] - s[offs[:-1]]) / np.maximum(np.diff(offs), 1)
+        """The same for a few texts at hand."""
+        texts = [(i, bytearray(data[a:b].tobytes())) for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True))]
+        rows = self.ratios(self.grams.sparkSession.createDataFrame(texts, "i long, s binary"), "s", "r").collect()
+        return np.array([r.r for r in sorted(rows, key=lambda r: r.i)])
 
     def allows(self, data, offs) -> np.ndarray:
         if not self.usable:
@@ -111,55 +177,41 @@ class UrlModel:
 
 def fit(ruled: DataFrame, text="s", verdict="verdict", key="u") -> UrlModel:
     """Count both models over all ruled URLs but a hashed fifth, and calibrate the threshold on that fifth."""
-    shape = (2, ORDER + 1, 2, BUCKETS)
     part = F.pmod(F.xxhash64(F.lit(5), key), F.lit(5))
     ruled = ruled.select(text, (F.col(verdict) == "block").cast("int").alias("c"), (part == 0).alias("cal"))
 
     def count(batches):
-        out, seen = np.zeros(shape, np.int64), np.zeros((2, ORDER + 1, BUCKETS, 256), bool)
+        held, size = [], 0
+
+        def flush():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            c = keys & 1
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(n * (1 - c)), pa.array(n * c)], ["g", "n0", "n1"])
+
         for b, data, offs in text_slices(batches, text):
-            c = np.repeat(np.array(column(b, "c").to_pylist()), np.diff(offs))
-            for k, (ctx, gram) in enumerate(_contexts(data, offs)):
-                for cls in (0, 1):
-                    at = c == cls
-                    out[cls, k, 0] += np.bincount(ctx[at], minlength=BUCKETS)
-                    out[cls, k, 1] += np.bincount(gram[at], minlength=BUCKETS)
-                    seen[cls, k, ctx[at], data[at]] = True
-        flat = out.reshape(-1)
-        at = np.flatnonzero(flat)
-        kinds = np.packbits(seen.reshape(-1, 256), axis=1)
-        own = np.flatnonzero(kinds.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, own + flat.size]), pa.array(np.r_[flat[at], np.zeros(len(own), np.int64)]), pa.array([None] * len(at) + [kinds[i].tobytes() for i in own], pa.binary())], ["i", "n", "b"])
-
-    parts = bounded(ruled.where(~F.col("cal")).select(text, "c")).mapInArrow(count, "i long, n long, b binary")
-    words = [F.expr(f"bit_or(cast(conv(hex(substring(b, {8 * w + 1}, 8)), 16, -10) as bigint))").alias(f"w{w}") for w in range(4)]
-    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), *words)
-    kinds = sum((F.coalesce(F.bit_count(f"w{w}"), F.lit(0)) for w in range(4)), F.lit(0))
-    size = int(np.prod(shape))
-    counts = np.zeros((2, ORDER + 1, 3, BUCKETS))
-    flat, types = np.zeros(size), np.zeros(2 * (ORDER + 1) * BUCKETS)
-    for r in rows.select("i", "n", kinds.alias("k")).toLocalIterator():  # a row for each bucket at most
-        if r.i < size:
-            flat[r.i] = r.n
-        else:
-            types[r.i - size] = r.k
-    counts[:, :, :2] = flat.reshape(shape)
-    counts[:, :, 2] = types.reshape(2, ORDER + 1, BUCKETS)
-    model = UrlModel(counts, usable=bool(counts[0, 0, 0].sum() and counts[1, 0, 0].sum()))
+            held.append(_grams(data, offs) << 1 | np.repeat(np.array(column(b, "c").to_pylist(), np.int64), np.diff(offs)))
+            size += len(data)
+            if size >= _HELD:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    sums = [F.sum(n).alias(n) for n in ("n0", "n1")]
+    full = bounded(ruled.where(~F.col("cal")).select(text, "c")).mapInArrow(count, "g long, n0 long, n1 long").groupBy("g").agg(*sums)
+    grams = materialize(full.select(_orders(), "n0", "n1").groupBy("k", "g").agg(*sums))
+    counts = np.zeros((2, 1, 3, 256))
+    for r in grams.where("k = 0").collect():  # a row for each byte at most
+        counts[:, 0, 1, r.g - 1] = r.n0, r.n1
+    counts[:, 0, 0, 0], counts[:, 0, 2, 0] = counts[:, 0, 1].sum(1), (counts[:, 0, 1] > 0).sum(1)
+    model = UrlModel(grams, counts, usable=bool(counts[:, 0, 0, 0].all()))
     if not model.usable:
         return model
-    shared = ruled.sparkSession.sparkContext.broadcast(model)
-
-    def histogram(batches):
-        h = np.zeros((2, _BINS), np.int64)
-        for b, data, offs in text_slices(batches, text):
-            s = np.clip(((shared.value.ratio(data, offs) + _SPAN) / (2 * _SPAN) * _BINS).astype(int), 0, _BINS - 1)
-            np.add.at(h, (np.array(column(b, "c").to_pylist()), s), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * _BINS)), pa.array(h.reshape(-1))], ["i", "n"])
-
+    place = F.floor((F.col("r") + _SPAN) / (2 * _SPAN) * _BINS)
+    place = F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), place)) + F.col("c") * _BINS
     h = np.zeros(2 * _BINS)
-    for r in bounded(ruled.where("cal").select(text, "c")).mapInArrow(histogram, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
-        h[r.i] = r.n
+    for r in model.ratios(ruled.where("cal").select(text, "c"), text, "r").groupBy(place.alias("i")).count().collect():  # a row for each bin at most
+        h[r.i] = r["count"]
     accepted, rejected = h.reshape(2, _BINS)
     wrong = np.r_[0, np.cumsum(accepted)] / max(accepted.sum(), 1) + (rejected.sum() - np.r_[0, np.cumsum(rejected)]) / max(rejected.sum(), 1)
     best = np.flatnonzero(wrong == wrong.min())
@@ -173,13 +225,10 @@ def judge(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES) -> Dat
     rule, verdict = apply_rules(df, rules)
     df = df.withColumns({"rule": rule, "verdict": verdict, "s": F.concat("host", "path")})
     model = fit(df.where("verdict is not null").select("u", "s", "verdict"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.drop("u", "s").schema.fields])
-
-    def run(batches):
-        for b, data, offs in text_slices(batches, "s"):
-            ok = shared.value.allows(data, offs)
-            v = [x or ("allow" if o else "block") for x, o in zip(column(b, "verdict").to_pylist(), ok, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) if n == "verdict" else column(b, n) for n in schema.names], schema.names)
-
-    return bounded(df.drop("u")).mapInArrow(run, schema)
+    names = [c for c in df.columns if c not in ("u", "s")]
+    if not model.usable:
+        return df.withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(names)
+    ratio = free_name("_ratio", df.columns)
+    rest = model.ratios(df.where("verdict is null").drop("u"), "s", ratio)
+    rest = rest.withColumn("verdict", F.when((F.col(ratio) >= model.threshold) | (F.col("s") == ""), "allow").otherwise("block"))
+    return df.where("verdict is not null").select(names).unionByName(rest.select(names))
