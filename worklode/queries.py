@@ -107,8 +107,7 @@ def stems_paths(spark, d):
 
 @query("SELECT doc_id, sha256(CASE WHEN strlen(text) <= 2000 THEN text ELSE 'long' END) AS clipped, CAST(greatest(1, floor((strlen(text) + 3) / 4)) AS INTEGER) AS estimate FROM documents")
 def clip_and_estimate(spark, d):
-    short = F.when(F.octet_length("text") <= 2000, X.clip("text")).when(F.octet_length(X.clip("text")) <= 830, "long")
-    return _table(spark, d, "documents").select("doc_id", F.sha2(short, 256).alias("clipped"), X.estimate_tokens("text").alias("estimate"))
+    return _table(spark, d, "documents").select("doc_id", F.sha2(X.clip("text"), 256).alias("clipped"), X.estimate_tokens("text").alias("estimate"))
 
 
 @query("SELECT id, CAST(CASE type WHEN 'constraint' THEN 1.0 ELSE round(pow(0.5, (epoch(TIMESTAMP '2026-01-01') - epoch(TIMESTAMP '2025-01-01') - doc_id * 3600) / 86400.0 / CASE type WHEN 'decision' THEN 180 WHEN 'failed' THEN 14 ELSE 7 END), 9) END AS DOUBLE) AS recency FROM claims_v WHERE doc_id < 8760")
