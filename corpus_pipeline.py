@@ -31,10 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null doc_id stay; repeated rows of a kept document leave one."""
-    gone = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Rows with a null doc_id stay; repeated rows of a kept document leave one; texts that share a doc_id are judged each by itself."""
+    text = free_name("_text_hash", docs.columns)
+    gone = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, text_hash=text).where("not kept").select("doc_id", text).distinct()
+    named = docs.where("doc_id is not null").withColumn(text, F.xxhash64("text")).join(gone, ["doc_id", text], "left_anti").dropDuplicates(["doc_id", text])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_near_dedup_stage_links_from_80_percent(spark, tmp_path):
     assert len(want) == 45 and len({c for _, c in brute_components(rows).values()}) == 60
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(x.doc_id for x in got) == sorted(want)
+
+
+def test_near_dedup_stage_judges_texts_that_share_an_id_each_by_itself(spark, tmp_path):
+    r = random.Random(13)
+    a, b, c, d, e, f = ([f"{x}{r.randint(0, 9999)}" for _ in range(60)] for x in "abcdef")
+    near = lambda w: [*w[:30], "other", *w[31:]]
+    texts = [(2, near(a)), (5, a), (5, b), (7, c), (7, d), (8, near(c)), (9, near(d)), (10, e), (10, near(e)), (11, f), (11, [w.upper() for w in f]), (12, []), (12, ["z"]), (12, ["z"])]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in texts]
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, rows), str(tmp_path)).collect()
+    comp = {i: g for i, (_, g) in brute_components([(i, x[1]) for i, x in enumerate(rows)], 80).items()}
+    left = [next(i for i, x in enumerate(rows) if x[:2] == (y.doc_id, y.text)) for y in got]
+    assert sorted(comp[i] for i in left) == sorted(set(comp.values()))
+    assert all(rows[i][0] == rows[comp[i]][0] for i in left)

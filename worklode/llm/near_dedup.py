@@ -18,7 +18,8 @@ So memory is bounded by blocks, and no member or link is given up.
 Defined results: a text of fewer than five words is one shingle of its whole
 sequence; null, empty and blank texts have the empty set and link with nothing,
 not with each other; rows with a null doc_id are their own (null component,
-kept); repeated rows share id and component; an empty table gives no rows.
+kept); repeated rows share id and component; unrelated texts under one doc_id are
+linked and kept each by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def _get_set(blob: bytes) -> np.ndarray:
     return x.view("<u8").reshape(-1)
 
 
-_SKETCHED = "doc_id long, n long, s1 long, s2 long, bands array<long>, regs binary, elements binary"
+_SKETCHED = "doc_id long, n long, s1 long, s2 long, bands array<long>, regs binary, elements binary, h long"
 
 
 def sketch_table(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -186,11 +187,11 @@ def sketch_table(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
             full = np.zeros((len(counts), REGISTERS), np.uint16)
             full[has] = regs
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))), pa.array([r.tobytes() for r in full], pa.binary()), _set_bytes(h, counts)],
-                ["doc_id", "n", "s1", "s2", "bands", "regs", "elements"],
+                [column(b, "doc_id"), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))), pa.array([r.tobytes() for r in full], pa.binary()), _set_bytes(h, counts), column(b, "h")],
+                ["doc_id", "n", "s1", "s2", "bands", "regs", "elements", "h"],
             )
 
-    return bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(run, _SKETCHED)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))).mapInArrow(run, _SKETCHED)
 
 
 class Bucket:
@@ -292,7 +293,7 @@ class Filter:
 
 
 def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Verified links of (key, block, rep, s1, s2, query) rows; only a block's members are held at once."""
+    """Verified links of the nodes of (key, block, rep, s1, s2, node, query) rows; only a block's members are held at once."""
     wanted = rows.select("rep").distinct()
     shared = rows.sparkSession.sparkContext.broadcast(Filter.of(wanted, wanted.count()))
 
@@ -306,15 +307,15 @@ def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> Data
 
     sets = table.select(F.col("doc_id").alias("rep"), "s1", "s2", "regs", "elements")
     full = rows.join(bounded(sets).mapInArrow(needed, sets.schema), ["rep", "s1", "s2"])
-    full = full.select("key", "block", "rep", "query", "regs", "elements").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    full = full.select("key", "block", "node", "query", "regs", "elements").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
 
     def run(batches):
         held, name = [], None
 
         def flush():
             seen = {}
-            for rep, q, regs, elements in held:
-                seen[rep] = (q or seen.get(rep, (False,))[0], regs, elements)
+            for node, q, regs, elements in held:
+                seen[node] = (q or seen.get(node, (False,))[0], regs, elements)
             if len(seen) < 2:
                 return []
             ids = sorted(seen)
@@ -338,41 +339,53 @@ def _linked(rows: DataFrame, table: DataFrame, percent: int, parts: int) -> Data
     return bounded(full).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row; links are 100 * intersection >= percent * union."""
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = 85, block: int = BLOCK, text_hash: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row, with its xxhash64 as ``text_hash`` if named; links are 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = materialize(sketch_table(docs, id_col, text_col), "uncompressed")
     linkable = table.where("doc_id is not null and n > 0")
-    reps = materialize(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    entries = reps.select("rep", "s1", "s2", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum((F.xxhash64("rep") / 4096).cast("long")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"), F.min("rep").alias("least")).where("m > 1")
+    reps = linkable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("s1", "s2", "n", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("rep_h"), "bands", F.col("least.doc_id").alias("node")))
+    shares = not reps.groupBy("rep").count().where("count > 1").isEmpty()
+    if shares:  # different sets with one least doc_id: number the sets in the order of their ids
+        reps = reps.drop("node").repartitionByRange("rep", "s1", "s2", "n").sortWithinPartitions("rep", "s1", "s2", "n")
+        reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()))
+    entries = reps.select("rep", "s1", "s2", "node", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum((F.xxhash64("node") / 4096).cast("long")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q"), F.min("node").alias("least")).where("m > 1")
     once = buckets.groupBy("m", "p", "q").agg(F.min("key").alias("key"), F.min("least").alias("least"))
     members = entries.join(once.select("key", "m", "least"), "key")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    members = materialize(members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    first = members.select("key", "block", "rep", "s1", "s2")
+    members = materialize(members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    first = members.select("key", "block", "rep", "s1", "s2", "node")
     hot = members.where("blocks > 1")
-    shared = hot.where("rep = least").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "s1", "s2")
+    shared = hot.where("node = least").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "s1", "s2", "node")
     links = materialize(_linked(first.union(shared).withColumn("query", F.lit(False)), table, percent, parts))
     if not hot.isEmpty():
         links = materialize(links.union(_rest(hot, components(links), table, percent, block, parts)))
     found = components(links)
-    named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = table.select("doc_id", "n", *(F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col(c)).alias(c) for c in ("s1", "s2")))
+    named = reps.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if shares:
+        named = named.join(reps.select(F.col("node").alias("component"), F.col("rep").alias("component_id")), "component")
+    else:
+        named = named.withColumn("component_id", F.col("component"))
+    named = named.select("s1", "s2", "n", "component_id", "rep_h", (F.col("node") == F.col("component")).alias("least"))
+    rows = table.select("doc_id", "n", "h", *(F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col(c)).alias(c) for c in ("s1", "s2")))
     out = rows.join(named, ["s1", "s2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = (F.col("doc_id") == F.col("component_id")) & F.col("least") & (F.col("h") == F.col("rep_h"))
+    hashed = [F.col("h").alias(text_hash)] if text_hash else []
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(kept, F.lit(True)).alias("kept"), *hashed)
 
 
 def _rest(hot: DataFrame, found: DataFrame, table: DataFrame, percent: int, block: int, parts: int) -> DataFrame:
     """Links of large buckets across blocks: members outside the bucket's largest component against all its members."""
-    named = hot.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    named = hot.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).getField("c").alias("main"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
     named = materialize(named.join(main, "key").withColumn("sets", F.ceil(F.col("outside") / block).cast("int")))
-    minor = named.where("c <> main").withColumn("set", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("sets")).cast("int"))
+    minor = named.where("c <> main").withColumn("set", F.pmod(F.xxhash64("node", F.lit(3)), F.col("sets")).cast("int"))
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
-    queries = minor.select("key", F.explode(across).alias("block"), "set", "blocks", "rep", "s1", "s2").withColumn("query", F.lit(True))
-    against = named.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "blocks", "rep", "s1", "s2").withColumn("query", F.lit(False))
+    queries = minor.select("key", F.explode(across).alias("block"), "set", "blocks", "rep", "s1", "s2", "node").withColumn("query", F.lit(True))
+    against = named.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"), "blocks", "rep", "s1", "s2", "node").withColumn("query", F.lit(False))
     both = queries.union(against).withColumn("block", F.col("set") * F.col("blocks") + F.col("block"))
-    return _linked(both.select("key", "block", "rep", "s1", "s2", "query"), table, percent, parts)
+    return _linked(both.select("key", "block", "rep", "s1", "s2", "node", "query"), table, percent, parts)
