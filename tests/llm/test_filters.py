@@ -43,7 +43,38 @@ def test_quality_matches_brute_force(spark):
         want = brute_quality(t)
         assert {k: got[d][k] for k in want} == want
         failed = want["n_words"] < 10 or 100 * want["n_repeat_words"] > 20 * want["n_words"]
-        assert got[d]["base_failed"] == failed and not (failed and got[d]["kept"])
+        assert got[d]["base_failed"] == failed and got[d]["kept"] == (not failed and brute_kept(want))
+
+
+def brute_kept(m):
+    """The method's verdict, from figures of the plain search."""
+    long = m["longest_repeat"] >= 50 and 50 * m["longest_repeat"] > m["n_words"]
+    return 10 * m["n_covered_words"] <= m["n_words"] and not long
+
+
+def test_quality_limits_reject_what_the_base_passes(spark):
+    r = random.Random(8)
+    fresh = lambda k: [f"u{r.random()}" for _ in range(k)]
+    rows, want = [], {}
+    for i, (n, part) in enumerate([(100, 0), (100, 9), (100, 10), (181, 10), (170, 9), (1900, 49), (1900, 50), (2390, 50), (2401, 50), (150, 14)]):
+        w, x = fresh(n), fresh(part)
+        rows.append((i, " ".join(x + w + x), "", "", 0))
+        want[i] = brute_kept(m := brute_quality(rows[-1][1]))
+        assert not (m["n_words"] < 10 or 5 * m["n_repeat_words"] > m["n_words"])
+    rows.append((None, rows[2][1], "", "", 0))
+    got = quality.assess(frame(spark, rows)).collect()
+    assert all(not g.base_failed for g in got)
+    assert {g.doc_id: g.kept for g in got if g.doc_id is not None} == want and [g.kept for g in got if g.doc_id is None] == [want[2]]
+    assert set(want.values()) == {True, False} and not want[2] and want[1] and not want[6] and want[5] and want[8]
+    assert quality.assess(frame(spark, [])).count() == 0
+
+
+def test_words_of_long_texts_are_numbered_in_chunks():
+    r = random.Random(1)
+    for _ in range(200):
+        t = "".join(r.choice(["a", "bb", " ", "\n", "é", "\t "]) for _ in range(r.randint(0, 60))).encode()
+        assert b"".join(quality._chunks(t, 5)) == t
+        assert [w for c in quality._chunks(t, 5) for w in c.split()] == t.split()
 
 
 def test_quality_of_long_repeats_without_base_failure(spark):

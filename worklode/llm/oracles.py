@@ -45,4 +45,20 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
 FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SQL = {"op1_suffix_dedup": SUBSTRINGS, "op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: Covered words: in a 10-word window found twice. One repeat of at least 50 words and over a fiftieth: a window of the least such length found twice.
+QUALITY = f"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n, greatest(50, len(w) // 50 + 1) AS far FROM d),
+  g AS (SELECT doc_id, k, i, list_slice(w, i, i + k - 1) AS x FROM (SELECT doc_id, w, k, unnest(range(1, n - k + 2)) AS i FROM (SELECT doc_id, w, n, unnest([5, 10, far]) AS k FROM n) WHERE n >= k)),
+  r AS (SELECT doc_id, k, i FROM (SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, x) AS c FROM g) WHERE c > 1),
+  p AS (SELECT doc_id, count(DISTINCT p) FILTER (k = 5) AS n5, count(DISTINCT p) FILTER (k = 10) AS n10, count(*) FILTER (k >= 50) > 0 AS long FROM (SELECT doc_id, k, unnest(range(i, i + least(k, 10))) AS p FROM r) GROUP BY 1),
+  l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+  m AS (SELECT n.doc_id, n, coalesce(n5, 0) AS n5, coalesce(n10, 0) AS n10, coalesce(long, false) AS long, n < 10 OR 100 * coalesce(n5, 0) > 20 * n AS base_failed FROM n LEFT JOIN p ON p.doc_id = n.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, n5 AS n_repeat_words, n10 AS n_covered_words,
+  base_failed, NOT base_failed AND NOT long AND n10 <= 0.10 * n AS kept
+FROM d JOIN m ON m.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
+
+SQL = {"op7_quality_rules": QUALITY, "op1_suffix_dedup": SUBSTRINGS, "op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}

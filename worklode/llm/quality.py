@@ -2,14 +2,22 @@
 
 Each text's words get a suffix array (prefix doubling over whole slices of
 documents, the document being the first key) and its longest-common-prefix
-array. Every adjacent pair of equal prefixes of at least ``min_words`` words
-marks an interval of maximal repeats: the union of their spans is the covered
-fraction, the largest LCP the longest repeat. The same array gives the exact
-words inside 5-word windows found twice.
+array. A suffix lies in nested LCP intervals, each a maximal repeated substring;
+the deepest of them has the larger LCP of its two neighbours. The union of the
+spans of those with at least ``min_words`` words is the covered share, the
+largest LCP the longest repeat. The same array gives the exact words inside
+5-word windows found twice.
+
+The limits bite where the base rule (5-word windows over more than a fifth of
+the words) does not: repeats of ten words and more over a tenth of the words
+(the published limit for duplicate 10-grams), or one repeat of fifty words and
+more, here a section said again, that is over a fiftieth of the words.
 
 Defined results: null or empty texts have no words, fail the base rule and are
 not kept; a text of one word repeated is all repetition; rows are judged one by
-one, so repeated rows and ties need no rule; other columns are ignored.
+one, so repeated rows, null ids and ties need no rule; an empty table gives no
+rows; other columns are ignored. A long text's words are numbered a chunk at a
+time, so a worker holds the integer arrays of one text, not its words.
 """
 
 from __future__ import annotations
@@ -24,13 +32,13 @@ from pyspark.sql import functions as F
 from worklode.llm.common import bounded, column, text_slices
 
 #: Shortest repeat (words) that counts for coverage; largest covered share of the words; longest single repeat as a share of the words, if also that many words.
-MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 10, 0.25, 0.20, 50
+MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 10, 0.10, 0.02, 50
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
 #: The white space of the word rule: space and tab to carriage return.
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LINE_WORD = re.compile(rb"[^\x20\x09-\x0d]")
+_LINE_WORD, _LINE_BLANK = re.compile(rb"[^\x20\x09-\x0d]"), re.compile(rb"[\x20\x09-\x0d]")
 
 
 def suffix_array(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +118,13 @@ def _finish_lcp(order, lcp, doc, ids, end, pos) -> None:
 def repeats(doc: np.ndarray, order: np.ndarray, lcp: np.ndarray, n_docs: int, least: int) -> np.ndarray:
     """For each document, the words covered by the union of repeats of at least ``least`` words."""
     n = len(doc)
-    reach = np.zeros(n + 1, np.int64)
-    hit = np.flatnonzero(lcp >= least)
-    for at in (order[hit], order[hit - 1]):
-        np.maximum.at(reach, at, at + lcp[hit])
-    far = np.maximum.accumulate(reach[:n]) if n else reach[:0]
-    return np.bincount(doc[far > np.arange(n)], minlength=n_docs)
+    if not n:
+        return np.zeros(n_docs, np.int64)
+    depth = np.maximum(lcp, np.r_[lcp[1:], 0])  # of the deepest interval that holds the suffix
+    hit = np.flatnonzero(depth >= least)
+    reach = np.zeros(n, np.int64)
+    reach[order[hit]] = order[hit] + depth[hit]
+    return np.bincount(doc[np.maximum.accumulate(reach) > np.arange(n)], minlength=n_docs)
 
 
 def windows(doc, order, lcp, n_docs, k=5) -> np.ndarray:
@@ -139,16 +148,44 @@ def _duplicate_lines(text: bytes) -> int:
     return n
 
 
+def _chunks(text: bytes, size: int = 1 << 20):
+    """``text`` in pieces of about ``size`` bytes that end at white space."""
+    lo = 0
+    while lo < len(text):
+        m = _LINE_BLANK.search(text, lo + size)
+        hi = m.end() if m else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def number_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the words' numbers by first sight."""
+    book: dict[bytes, int] = {}
+    sizes, parts = [], []
+    for t in texts:
+        n = 0
+        for piece in _chunks(t):
+            words = piece.split()
+            parts.append(np.fromiter((book.setdefault(w, len(book)) for w in words), np.int64, len(words)))
+            n += len(words)
+        sizes.append(n)
+    return np.array(sizes, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def verdict(m: dict[str, np.ndarray], max_covered=MAX_COVERED, max_longest=MAX_LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """(base_failed, kept) of figures."""
+    n = m["n_words"]
+    failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
+    bad = (m["n_covered_words"] > max_covered * n) | ((m["longest_repeat"] >= LONG_WORDS) & (m["longest_repeat"] > max_longest * n))
+    return failed, ~failed & ~bad
+
+
 def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """All figures of a slice of documents."""
     n = len(offs) - 1
     raw = data.tobytes()
     texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-    words = [t.split() for t in texts]
-    n_words = np.fromiter(map(len, words), np.int64, n)
-    flat = [w for ws in words for w in ws]
-    book = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    ids = np.fromiter(map(book.__getitem__, flat), np.int64, len(flat))
+    n_words, ids = number_words(texts)
     doc = np.repeat(np.arange(n), n_words)
     order, lcp = suffix_array(doc, ids)
 
@@ -180,9 +217,7 @@ def assess(df: DataFrame, id_col="doc_id", text_col="text", max_covered=MAX_COVE
     def run(batches):
         for b, data, offs in text_slices(batches, text_col, 1 << 20):
             m = measure(data, offs)
-            n = m["n_words"]
-            failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
-            bad = (m["n_covered_words"] > max_covered * n) | ((m["longest_repeat"] >= LONG_WORDS) & (m["longest_repeat"] > max_longest * n))
-            yield pa.RecordBatch.from_arrays([column(b, id_col), *(pa.array(m[c], pa.int64()) for c in names), pa.array(failed), pa.array(~failed & ~bad)], [id_col, *names, "base_failed", "kept"])
+            failed, kept = verdict(m, max_covered, max_longest)
+            yield pa.RecordBatch.from_arrays([column(b, id_col), *(pa.array(m[c], pa.int64()) for c in names), pa.array(failed), pa.array(kept)], [id_col, *names, "base_failed", "kept"])
 
     return bounded(df.select(id_col, text_col)).mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents"))
+    return quality.assess(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
