@@ -111,7 +111,7 @@ def test_pack_is_round_trip(spark):
     docs = documents()
     rows = packing.pack(frame(spark, docs), row=64, buffer=2000).collect()
     enc = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=packing.load_encoding(), special_tokens={})
-    tokens = packing.unpack([r for r in rows])
+    tokens = packing.unpack([r for r in rows], 64)
     twice = {d for d in (x[0] for x in docs) if sum(x[0] == d for x in docs) > 1}
     for d, t, *_ in docs:
         if d not in twice:
@@ -124,3 +124,33 @@ def test_pack_is_round_trip(spark):
     assert len({r.pack_id for r in rows}) == len(rows)
     assert packing.matrix([r for r in packing.pack(frame(spark, docs)).collect()]).shape[1] == 2048
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_long_texts_are_encoded_in_pieces(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=packing.load_encoding(), special_tokens={})
+    r = random.Random(5)
+    for _ in range(40):
+        t = "".join(r.choice(["a", " ", "\n", "1", "!", " b", "  ", "é", "'s", "\t", " \n", "-x"]) for _ in range(400))
+        parts = list(packing.pieces_of(t, 30))
+        assert "".join(parts) == t and len(parts) > 3
+        assert [x for p in parts for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    blanks = [" " * 5_000_000, "a" + "\n" * 200_000 + "b c", "x " * 400_000 + "\t" * 70_000, "z" * 3_000_000]
+    rows = packing.pack(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(blanks)]), row=1 << 16).collect()
+    tokens = packing.unpack(rows, 1 << 16)
+    assert all(enc.decode(tokens[i].tolist()) == t for i, t in enumerate(blanks))
+    assert tokens[2].tolist()[:400_000] == enc.encode_ordinary("x " * 400_000)[:400_000]
+
+
+def test_stable_packs_and_wide_positions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 4000)
+    docs = documents() + [(None, "no id here", "en", "s", 0)]
+    one = packing.pack(frame(spark, docs).coalesce(1), row=64, stable=True).collect()
+    two = packing.pack(frame(spark, docs[::-1]).repartition(7), row=64, stable=True).collect()
+    key = lambda r: r.pack_id
+    assert sorted(one, key=key) == sorted(two, key=key) and len({r.pack_id for r in one}) == len(one)
+    assert {d for r in one for d in r.doc_ids} == {d[0] for d in docs}
+    wide = packing.pack(frame(spark, [(1, "b c " * 50_000, "", "", 0)]), row=80_000).collect()
+    assert len(wide) == 2 and np.frombuffer(wide[0].positions, "<u4").max() == 79_999
+    assert packing.pack(frame(spark, []), stable=True).count() == 0
