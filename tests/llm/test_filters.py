@@ -225,6 +225,33 @@ def test_decontamination_matches_brute_force(spark):
             assert len(m._items) == brute_hits(texts[m.doc_id], items)[2]
 
 
+def test_automaton_memory_is_bounded_and_long_texts_match():
+    import pickle
+    import tracemalloc
+
+    r = random.Random(3)
+    voc = [f"w{int(r.paretovariate(0.6))}" for _ in range(40_000)]
+    items = [(str(i), [r.choice(voc).encode() for _ in range(r.randint(5, 400))]) for i in range(700)]
+    size = sum(len(w) + 1 for _, ws in items for w in ws)
+    tracemalloc.start()
+    model = decontaminate.ItemAutomaton(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 400_000 and peak < 64 * size and len(pickle.dumps(model)) < 24 * size
+    text = [r.choice(voc).encode() for _ in range(120_000)]
+    for i in range(0, 100_000, 1000):
+        ws = r.choice(items)[1]
+        text[i : i + 12] = ws[:12]
+    grams = {tuple(ws[i : i + 10]) for _, ws in items for i in range(len(ws) - 9)} | {tuple(ws) for _, ws in items if len(ws) < 10}
+    want = np.zeros(len(text), bool)
+    for n in {len(g) for g in grams}:
+        for i in range(len(text) - n + 1):
+            if tuple(text[i : i + n]) in grams:
+                want[i : i + n] = True
+    sizes, masks, _ = model.scan([b" ".join(text), b""])
+    assert sizes.tolist() == [len(text), 0] and (masks[0] == want).all() and want.sum() > 500 and masks[1] is None
+
+
 def test_decontaminate_removes_spans(spark):
     item = " ".join(f"b{i}" for i in range(12))
     docs = [(1, f"Start here {item.upper()} the end of it, with more words than the item has.", "en", "s", 1), (2, item, "en", "s", 1), (3, "clean", "en", "s", 1), (4, None, "en", "s", 1)]

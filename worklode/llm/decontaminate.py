@@ -21,6 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ _FOLD = bytes(
     (b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_BITS = 22
+#: Item text of one automaton. Measured on short words: 57 bytes of driver memory while it is built and 19 of broadcast for each byte.
+MAX_ITEM_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,85 +47,137 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton over word numbers, with the windows that end in each state."""
+    """Generalised suffix automaton over word numbers, with the windows that end in each state.
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = 10):
+    A state is four 32-bit integers: its link, its length and its first
+    transition. Most states have no other; the rest are one sorted array of
+    (state, word) keys with their targets.
+    """
+
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = 10):
         self.window = window
         self.book: dict[bytes, int] = {}
-        seqs = [(name, [self.book.setdefault(w, len(self.book)) for w in ws]) for name, ws in items if ws]
+        self.names: list[str | None] = []
+        seqs = []
+        for name, ws in items:
+            if ws:
+                self.names.append(name)
+                seqs.append(array("i", [self.book.setdefault(w, len(self.book)) for w in ws]))
         self.base = max(1, len(self.book))
-        self.next: dict[int, int] = {}
-        self.link, self.length = [-1], [0]
-        outgoing: list[list[int]] = [[]]
-        for _, seq in seqs:
+        self.link, self.length, self.word, self.goto = (array("i", [x]) for x in (-1, 0, -1, -1))
+        more: dict[int, int] = {}
+        others: dict[int, list[int]] = {}
+        for seq in seqs:
             last = 0
             for w in seq:
-                last = self._extend(last, w, outgoing)
-        # the state that holds the suffix of exactly `window` words, and the nearest state with a short item
-        order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        self.top = [-1] * len(order)
-        self.listed: dict[int, set] = {}
+                last = self._extend(last, w, more, others)
+        keys = np.fromiter(more, np.int64, len(more))
+        order = np.argsort(keys)
+        self.keys = array("q", keys[order].tobytes())
+        self.targets = array("i", np.fromiter(more.values(), np.int32, len(more))[order].tobytes())
+        del more, others
+        link, length = np.frombuffer(self.link, np.int32), np.frombuffer(self.length, np.int32)
+        # the state that holds the suffix of exactly `window` words
+        self.top = self._climb((length >= window) & (length[link] >= window) & (np.arange(len(link)) > 0), link)
+        marks, self.least = [], window
         self.short: dict[int, list] = {}
-        for v in order:
-            p = self.link[v]
-            if self.length[v] >= window:
-                self.top[v] = v if p < 0 or self.length[p] < window else self.top[p]
-        self.least = window
-        for name, seq in seqs:
+        for k, seq in enumerate(seqs):
             n, v = len(seq), 0
+            here = array("i")
             for i, w in enumerate(seq):
-                v = self.next[v * self.base + w]
+                v = self.step(v, w)
                 while self.length[self.link[v]] >= i + 1:
                     v = self.link[v]
                 if i + 1 >= window:
-                    self.listed.setdefault(self.top[v], set()).add(name)
+                    here.append(self.top[v])
+            marks.append(np.unique(np.frombuffer(here, np.int32)).astype(np.int64) << 32 | k)
             if n < window:
-                self.short.setdefault(v, []).append((n, name))
+                self.short.setdefault(v, []).append((n, self.names[k]))
                 self.least = min(self.least, n)
-        self.near = [-1] * len(order)
-        for v in order:
-            self.near[v] = v if v in self.short else (self.near[self.link[v]] if self.link[v] >= 0 else -1)
-        self.pairs = np.zeros(1 << _BITS, bool)
-        for _, seq in seqs:
-            a = np.array(seq, np.uint64)
-            self.pairs[self._slot(a[:-1], a[1:])] = True
+        marks = np.sort(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+        self.listed, self.item = array("i", (marks >> 32).astype(np.int32).tobytes()), array("i", (marks & 0xFFFFFFFF).astype(np.int32).tobytes())
+        # the nearest state with a short item; the root, which has none, stands for no such state
+        up = np.ones(len(link), bool)
+        up[[0, *self.short]] = False
+        self.near = self._climb(up, link)
+        self.bits = max(16, int(8 * sum(map(len, seqs)) + 1).bit_length())
+        self.pairs = np.zeros(1 << self.bits, bool)
+        for seq in seqs:
+            x = np.frombuffer(seq, np.int32).astype(np.uint64)
+            self.pairs[self._slot(x[:-1], x[1:])] = True
+
+    @staticmethod
+    def _climb(up: np.ndarray, link: np.ndarray) -> array:
+        """For each state the first one along its links that is not ``up``, by pointer jumping."""
+        to = np.where(up, link, np.arange(len(link), dtype=np.int32)).astype(np.int32)
+        while True:
+            far = to[to]
+            if (far == to).all():
+                return array("i", to.tobytes())
+            to = far
 
     def _slot(self, a, b):
-        return ((a * np.uint64(self.base) + b) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
+        return ((a * np.uint64(self.base) + b) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def _extend(self, last: int, w: int, more: dict[int, int], others: dict[int, list[int]]) -> int:
+        link, length, word, goto, base = self.link, self.length, self.word, self.goto, self.base
 
-    def _extend(self, last: int, w: int, outgoing) -> int:
-        nxt, link, length, base = self.next, self.link, self.length, self.base
+        def get(p):
+            return goto[p] if word[p] == w else more.get(p * base + w)
 
         def split(p, q):
             clone = len(link)
             link.append(link[q])
             length.append(length[p] + 1)
-            outgoing.append(list(outgoing[q]))
-            for c in outgoing[q]:
-                nxt[clone * base + c] = nxt[q * base + c]
+            word.append(word[q])
+            goto.append(goto[q])
+            if q in others:
+                others[clone] = list(others[q])
+                for c in others[q]:
+                    more[clone * base + c] = more[q * base + c]
             link[q] = clone
-            while p >= 0 and nxt.get(p * base + w) == q:
-                nxt[p * base + w] = clone
+            while p >= 0 and get(p) == q:
+                if word[p] == w:
+                    goto[p] = clone
+                else:
+                    more[p * base + w] = clone
                 p = link[p]
             return clone
 
-        q = nxt.get(last * base + w)
+        q = get(last)
         if q is not None:
             return q if length[q] == length[last] + 1 else split(last, q)
         cur = len(link)
         link.append(0)
         length.append(length[last] + 1)
-        outgoing.append([])
+        word.append(-1)
+        goto.append(-1)
         p = last
-        while p >= 0 and (p * base + w) not in nxt:
-            nxt[p * base + w] = cur
-            outgoing[p].append(w)
+        while p >= 0 and get(p) is None:
+            if word[p] < 0:
+                word[p], goto[p] = w, cur
+            else:
+                more[p * base + w] = cur
+                others.setdefault(p, []).append(w)
             p = link[p]
         if p >= 0:
-            q = nxt[p * base + w]
+            q = get(p)
             link[cur] = q if length[q] == length[p] + 1 else split(p, q)
         return cur
 
+    def step(self, v: int, w: int) -> int:
+        """The state after word ``w``, or -1."""
+        if self.word[v] == w:
+            return self.goto[v]
+        key = v * self.base + w
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else -1
+
+    def found(self, v: int) -> list[str | None]:
+        """Names of the items with the window that ends in state ``v``."""
+        t = self.top[v]
+        return [self.names[k] for k in self.item[bisect_left(self.listed, t) : bisect_right(self.listed, t)]]
+
     def segments(self, ids: np.ndarray, doc: np.ndarray):
         """(start, end) of the stretches in which a window may lie."""
         n = len(ids)
@@ -139,29 +195,26 @@ class ItemAutomaton:
 
     def stream(self, ids: list[int]):
         """Yield (end, window length, item names) for each window that ends at a word of ``ids``."""
-        nxt, link, length, base, window = self.next, self.link, self.length, self.base, self.window
+        link, length, near, window, step = self.link, self.length, self.near, self.window, self.step
         v = size = 0
         for i, w in enumerate(ids):
-            t = nxt.get(v * base + w)
-            while t is None and v:
+            t = step(v, w)
+            while t < 0 and v:
                 v = link[v]
                 size = length[v]
-                t = nxt.get(v * base + w)
-            if t is None:
+                t = step(v, w)
+            if t < 0:
                 continue
             v = t
             size += 1
             if size >= window:
-                yield i + 1, window, self.listed[self._at(v, size)]
-            u = self.near[v]
+                yield i + 1, window, self.found(v)
+            u = near[v]
             while u > 0:
                 for n, name in self.short[u]:
                     if n <= size:
                         yield i + 1, n, (name,)
-                u = self.near[link[u]]
-
-    def _at(self, v, size):
-        return self.top[v]
+                u = near[link[u]]
 
     def scan(self, texts: list[bytes]):
         """Per text: number of words, hit mask (or None), names of items."""
@@ -189,18 +242,28 @@ class ItemAutomaton:
         return sizes, masks, names
 
 
-def automata(items: DataFrame, id_col="item_id", text_col="text", window=10, max_item_bytes=32 << 20) -> list[ItemAutomaton]:
-    """One automaton for each ``max_item_bytes`` of item text."""
-    out, batch, size = [], [], 0
+def item_batches(items: DataFrame, id_col="item_id", text_col="text", max_item_bytes=MAX_ITEM_BYTES):
+    """Lists of (id, words) with at most ``max_item_bytes`` of text, one at a time on the driver."""
+    batch, size = [], 0
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).distinct()
     for r in rows.toLocalIterator():
-        ws = words_of(bytes(r.t or b""))
-        if batch and size + len(r.t or b"") > max_item_bytes:
-            out.append(ItemAutomaton(batch, window))
+        text = bytes(r.t or b"")
+        if batch and size + len(text) > max_item_bytes:
+            yield batch
             batch, size = [], 0
-        batch.append((r.i, ws))
-        size += len(r.t or b"")
-    return [*out, ItemAutomaton(batch, window)]
+        batch.append((r.i, words_of(text)))
+        size += len(text)
+    yield batch
+
+
+def automata(items: DataFrame, id_col="item_id", text_col="text", window=10, max_item_bytes=MAX_ITEM_BYTES) -> list[ItemAutomaton]:
+    """All automata of a small item set."""
+    return list(build(items, id_col, text_col, window, max_item_bytes))
+
+
+def build(items: DataFrame, id_col="item_id", text_col="text", window=10, max_item_bytes=MAX_ITEM_BYTES) -> Iterator[ItemAutomaton]:
+    """One automaton for each ``max_item_bytes`` of item text, made when it is asked for."""
+    return (ItemAutomaton(batch, window) for batch in item_batches(items, id_col, text_col, max_item_bytes))
 
 
 def mark_names(columns) -> tuple[str, str, str]:
@@ -208,13 +271,15 @@ def mark_names(columns) -> tuple[str, str, str]:
     return free_name("n_words", columns), free_name("_windows", columns), free_name("_items", columns)
 
 
-def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataFrame:
-    """``docs`` with the number of words, the hit runs of words (start, end) and the item ids found."""
+def mark(docs: DataFrame, models: Iterable[ItemAutomaton], text_col="text") -> DataFrame:
+    """``docs`` with the number of words, the hit runs of words (start, end) and the item ids found; one model at a time."""
     spark, kept = docs.sparkSession, docs.schema.fields
     count, spans_col, items_col = mark_names(docs.columns)
     schema = T.StructType([*kept, T.StructField(count, T.LongType()), T.StructField(spans_col, T.ArrayType(T.IntegerType())), T.StructField(items_col, T.ArrayType(T.StringType()))])
     out = docs.select(*[f"`{f.name}`" for f in kept])
     for k, model in enumerate(models):
+        if k:
+            out = materialize(out)
         shared = spark.sparkContext.broadcast(model)  # of at most max_item_bytes of items
 
         def run(batches, shared=shared, k=k):
@@ -235,9 +300,8 @@ def mark(docs: DataFrame, models: list[ItemAutomaton], text_col="text") -> DataF
                 cols = [column(b, f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], schema.names)
 
+        del model
         out = bounded(out).mapInArrow(run, schema)
-        if k + 1 < len(models):
-            out = materialize(out)
     return out
 
 
@@ -245,7 +309,7 @@ def digest(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     """Counts per document: words, hit words, items."""
     docs = docs.select(id_col, text_col)
     count, spans_col, items_col = mark_names(docs.columns)
-    m = mark(docs, automata(items, item_id, item_text, window), text_col)
+    m = mark(docs, build(items, item_id, item_text, window), text_col)
     ends = F.expr(f"aggregate({spans_col}, 0L, (a, x) -> x - a)")  # end - (start - earlier sum): alternating sum
     return m.select(
         id_col,
@@ -262,7 +326,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_id="i
     limit); those with more than ``max_coverage`` of their words hit go. Columns as in ``docs``."""
     schema = docs.schema
     count, spans_col, items_col = mark_names(docs.columns)
-    m = mark(docs, automata(items, item_id, item_text, window), text_col)
+    m = mark(docs, build(items, item_id, item_text, window), text_col)
 
     def run(batches):
         for b in batches:
