@@ -46,6 +46,48 @@ def test_many_shapes(spark, monkeypatch):
     same(spark, rows)
 
 
+def test_one_beginning_in_every_document(spark, monkeypatch):
+    """Sixteen bytes that are every suffix's anchor in ever other surroundings: splitters coincide, and one anchor exceeds a chunk."""
+    monkeypatch.setattr(sd, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(sd, "CHUNK_WINDOWS", 200)
+    r = random.Random(11)
+    hot = "the same sixteen"
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    sides = [(text(60), text(60)) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        parts = []
+        for _ in range(4):
+            left, right = r.choice(sides)[0], r.choice(sides)[1]
+            parts.append(left[-r.randint(5, 60) :] + hot + right[: r.randint(5, 60)] + text(r.randint(0, 3)))
+        rows.append((i, text(20).join(parts), "en", "s", 0))
+    same(spark, rows)
+    tokens = tuple((int.from_bytes(hot[k : k + 8].encode(), "big") ^ 1 << 63) - (1 << 64) for k in (0, 8))
+    tokens = tuple(t + (1 << 64) if t < -(1 << 63) else t for t in tokens)
+    monkeypatch.setattr(sd, "_sample_splitters", lambda *_: [tokens] * 7)
+    same(spark, rows)
+
+
+def test_hash_buckets_hold_equal_shares():
+    r = np.random.default_rng(4)
+    data = r.integers(97, 123, 400_000).astype(np.uint8)
+    _, _, _, _, h = sd.anchors(data, np.array([0, len(data)]))
+    n = np.diff(np.r_[0, np.searchsorted(np.sort(h), sd._hash_splitters(40)), len(h)])
+    assert n.min() > 0.75 * n.mean() and n.max() < 1.25 * n.mean()
+
+
+def test_groups_and_buckets_grow_together(spark, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP_BYTES", 1000)
+    monkeypatch.setattr(sd, "SCALE_BYTES", 16_000)
+    rows = {}
+    for k in (1, 4):
+        base = spark.createDataFrame([(i, bytearray(1000)) for i in range(32 * k)], "doc_id long, text binary")
+        _, groups, _, total = sd._grouped(base)
+        rows[k] = groups * groups
+        assert total == 32_000 * k
+    assert rows[4] <= 4.5 * rows[1]
+
+
 def test_empty_and_quicksort(spark):
     assert sd.dedup_spans(frame(spark, [])).count() == 0
     r = np.random.default_rng(1)

@@ -7,46 +7,61 @@ anchor, its leftmost position of least ``K``-byte hash, and equal windows name
 equal anchors at equal distances. The steps:
 
 1. Documents are dealt into groups of bounded size. Each group reports its
-   anchors' hashes, packed, once each; a hash found in two documents marks a
-   candidate, and the marks return to the groups.
+   anchors' hashes, packed, once each, to buckets that are ranges of the hash
+   with equal shares of anchors (least hashes are small, so the ranges follow
+   their known distribution); a hash found in two documents marks a candidate,
+   and the marks return to the groups.
 2. Candidate suffixes (the anchor and the windows around it that name it, equal
    ones of a group once, with their least doc_id and their occurrences) are
-   range-partitioned by their leading token, the eight bytes at the anchor, with
-   splitters sampled from the corpus. Equal tokens share a bucket; where a token
-   is so frequent that neighbouring splitters coincide, its bucket is divided by
-   the next token, so no pair of equal suffixes lies across a boundary.
-3. Each bucket sorts the suffixes of all its windows by multikey quicksort on
-   eight-byte words (a group is refined by the next word only while it ties),
-   compares neighbours, and takes the least doc_id of each equal run.
+   range-partitioned by their leading tokens, twice eight bytes at the anchor,
+   with splitters sampled in proportion to the buckets. Where sixteen bytes are
+   so frequent that splitters coincide, their suffixes are cut into ``CLASSES``
+   of neighbouring distances from the anchor and spread over those splitters'
+   buckets by the 44 bytes that all windows of a class share.
+3. Each bucket sorts the suffixes of all its windows by multikey quicksort with
+   eight-byte words as keys (NumPy's quicksort for each word; a run of ties is
+   refined by the next word, and only such runs are), compares neighbours, and
+   takes the least doc_id of each equal run. It takes whole anchors, about
+   ``CHUNK_WINDOWS`` at a time; a larger anchor goes by ranges of distances.
 4. Removed runs go back to the groups, are united, and the rest is hashed.
 
-A third of all rows under one key stays harmless: copies in a group collapse
+Neighbours across a bucket's boundary need no comparison: equal windows have
+equal leading tokens, distance and shared bytes, and these alone choose the
+bucket, so no two suffixes with a common window lie on different sides.
+
+A group and a bucket exchange one row, so their sizes grow together with the
+square root of the input (to 16 times): the rows grow in proportion to it. A
+third of all rows under one key stays harmless: copies in a group collapse
 before the exchange to one suffix with a list of occurrences.
 
 Defined results: null and empty texts keep nothing and lose nothing; texts
 shorter than ``LENGTH`` are whole; rows with a null doc_id neither lose nor
-remove bytes; rows with the same doc_id do not remove from each other; an empty
-table gives no rows.
+remove bytes, and take part in no exchange; rows with the same doc_id do not
+remove from each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from worklode.llm.common import SLICE_BYTES, bounded, column, mix64, pack_sorted, pack_u64, ranges, text_slices, unpack_sorted, unpack_u64
+from worklode.llm.common import SLICE_BYTES, bounded, column, materialize, mix64, pack_sorted, pack_u64, ranges, text_slices, unpack_sorted, unpack_u64
 
 LENGTH, K = 50, 16
-#: Bytes of text in a group, and windows that a bucket sorts at once.
-GROUP_BYTES = 8 << 20
+#: Bytes of text in a group (up to SCALE_BYTES of input), and windows that a bucket sorts at once.
+GROUP_BYTES, SCALE_BYTES = 8 << 20, 1 << 30
 CHUNK_WINDOWS = 1 << 20
 _W = LENGTH - K + 1
+#: Classes of distances from the anchor, and the bytes that all windows of a class share.
+CLASSES = 5
+_CLASS = -(-_W // CLASSES)
+_SHARED = LENGTH - _CLASS + 1
 _POS_BITS = 24
 _WORDS = -(-LENGTH // 8)
 
@@ -93,21 +108,30 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     return doc, first, last, at[first], h[at[first]]
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str):
-    """Documents dealt by hash into groups of about GROUP_BYTES, in half as many partitions."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def _grouped(base: DataFrame):
+    """Documents dealt by hash into groups, with their numbers of partitions, of groups, and of hash buckets."""
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    parts = max(1, -(-groups // 2), min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    g = F.pmod(F.xxhash64(F.lit(11), "doc_id", F.octet_length("text")), F.lit(groups)).cast("int")
-    return base.withColumn("g", g).repartition(parts, "g"), groups, parts
+    size = GROUP_BYTES * min(16.0, max(1.0, math.sqrt(total / SCALE_BYTES)))
+    groups = max(1, math.ceil(total / size))
+    parts = max(1, -(-groups // 2), min(groups, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    g = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(groups)).cast("int")
+    return base.withColumn("g", g).repartition(parts, "g"), groups, -(-groups // 8), total
+
+
+def _hash_splitters(buckets: int) -> np.ndarray:
+    """Hash values between which lie equal shares of anchors, the positions of a least hash in some window of _W."""
+    x = np.linspace(0, 1, 1 << 16)
+    q = 1 - x
+    share = 1 - ((_W + 1) * q**_W - (_W - 1) * q ** (_W + 1)) / 2
+    at = np.interp(np.arange(1, buckets) / buckets, share, x)
+    return (at * 2.0**63).astype(np.uint64) << np.uint64(1)
 
 
 def _sorted_docs(t: pa.Table):
     """The rows of a group in a fixed order (doc_id, then bytes), whatever order they arrived in."""
     ids = t.column("doc_id").to_pylist()
     texts = t.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
@@ -184,52 +208,85 @@ def _resolve(entries):
     return owner[a], a - base[owner[a]], b - base[owner[a]], result[a]
 
 
+def _of_distances(head: int, windows: int, lo: int, hi: int) -> tuple[int, int]:
+    """First and last window of an entry whose anchor lies ``lo`` to ``hi`` bytes in; none if first > last."""
+    return max(0, head - hi), min(windows - 1, head - lo)
+
+
 def _in_chunks(entries):
-    """Resolve (token, bytes, least doc_id) entries, sorted by token, CHUNK_WINDOWS or one token's at a time."""
+    """Resolve (anchor, bytes, least doc_id, head) entries, sorted by anchor, about CHUNK_WINDOWS at a time."""
     lo = 0
     while lo < len(entries):
         hi, windows = lo, 0
         while hi < len(entries) and (windows < CHUNK_WINDOWS or entries[hi][0] == entries[hi - 1][0]):
             windows += len(entries[hi][1]) - LENGTH + 1
             hi += 1
-        owner, first, last, least = _resolve([e[1:] for e in entries[lo:hi]])
-        yield owner + lo, first, last, least
+        wide = max(1, _W * CHUNK_WINDOWS // windows)
+        if windows < 2 * CHUNK_WINDOWS or entries[lo][0] != entries[hi - 1][0]:
+            wide = _W
+        for near in range(0, _W, wide):  # windows at different distances from the anchor are never equal
+            part, owners, starts = [], [], []
+            for i in range(lo, hi):
+                _, s, least, head = entries[i]
+                a, b = _of_distances(head, len(s) - LENGTH + 1, near, near + wide - 1)
+                if a <= b:
+                    part.append((s[a : b + LENGTH], least))
+                    owners.append(i)
+                    starts.append(a)
+            if part:
+                owner, first, last, least = _resolve(part)
+                shift = np.array(starts, np.int64)[owner]
+                yield np.array(owners, np.int64)[owner], first + shift, last + shift, least
         lo = hi
 
 
-def _sample_splitters(docs: DataFrame, id_col: str, text_col: str, buckets: int, seed: int = 1):
-    """Quantiles of (leading token, next token) over the anchors of a hashed sample of documents: buckets - 1 pairs."""
-    base = docs.select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("r"))
+def _sample_splitters(base: DataFrame, buckets: int, total: int, seed: int = 1):
+    """Quantiles of (leading token, next token) over the anchors of a hashed fiftieth of the documents: about buckets - 1 pairs.
+
+    The sample, some 400 anchors a bucket, only balances; it is sorted by range
+    partitions, and only the quantiles come to the driver.
+    """
+    if buckets < 2:
+        return []
+    thin = np.uint64((1 << max(0, int(math.log2(total / 18 / 50 / (400 * buckets) + 1)))) - 1)
 
     def run(batches):
-        for b, data, offs in text_slices(batches, "t"):
+        for b, data, offs in text_slices(batches, "text"):
             _, _, _, at, h = anchors(data, offs)
-            at = at[(h & np.uint64(63)) == 0]
+            at = at[(h & thin) == 0]
             padded = np.r_[data, np.zeros(16, np.uint8)]
             v = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
             # signed order of the flipped word is the byte order
             yield pa.RecordBatch.from_arrays([pa.array((v[at + s].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)) for s in (0, 8)], ["a", "b"])
 
-    tokens = bounded(base.where(F.pmod("r", F.lit(50)) == 0)).mapInArrow(run, "a long, b long")
-    picked = tokens.orderBy(F.xxhash64("a", "b")).limit(20_000).collect()  # a bounded sample: it only balances
-    picked = sorted((r.a, r.b) for r in picked)
-    return [picked[len(picked) * i // buckets] for i in range(1, buckets)] if picked else []
+    sample = base.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(50)) == 0).select("text")
+    tokens = materialize(bounded(sample).mapInArrow(run, "a long, b long"))
+    step = max(1, tokens.count() // buckets)
+
+    def every(batches):
+        seen = 0
+        for b in batches:
+            at = np.arange((-seen - 1) % step, b.num_rows, step)
+            seen += b.num_rows
+            yield b.take(pa.array(at))
+
+    parts = max(1, min(buckets, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranked = tokens.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b")
+    return sorted((r.a, r.b) for r in ranked.mapInArrow(every, "a long, b long").collect())
 
 
 def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges, flat) of each row."""
-    grouped, groups, parts = _grouped(docs, id_col, text_col)
-    buckets = groups
-    shift = np.uint64(32)
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    base = every.where("doc_id is not null")
+    grouped, groups, buckets, total = _grouped(base)
+    ends = _hash_splitters(buckets)
 
     def report(batches):
         held: dict[int, list] = {}
         for b, data, offs in text_slices(batches, "text"):
-            ids = column(b, "doc_id").to_pylist()
             gs = np.array(column(b, "g").to_pylist())
             doc, _, _, _, h = anchors(data, offs)
-            known = np.array([i is not None for i in ids])[doc] if len(doc) else np.zeros(0, bool)
-            doc, h = doc[known], h[known]
             o = np.lexsort((doc, h))
             h, doc = h[o], doc[o]
             first = np.ones(len(h), bool)
@@ -251,8 +308,7 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 continue
             twice = (np.diff(np.r_[heads, len(x)]) > 1) | np.logical_or.reduceat(m, heads)
             x = x[heads]
-            place = ((x >> shift) * np.uint64(buckets) >> shift).astype(np.int64)
-            cut = np.searchsorted(place, np.arange(buckets + 1))
+            cut = np.r_[0, np.searchsorted(x, ends), len(x)]
             rows = [(k, cut[k], cut[k + 1]) for k in range(buckets) if cut[k] < cut[k + 1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([g] * len(rows), pa.int32()), pa.array([pack_sorted(x[a:b]) for _, a, b in rows], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in rows], pa.binary())],
@@ -269,16 +325,18 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
     marks = bounded(grouped).mapInArrow(report, "bucket int, g int, hashes binary, twice binary").groupBy("bucket").applyInArrow(repeated, "g int, hashes binary")
-    splitters = _sample_splitters(docs, id_col, text_col, buckets)
+    splitters = _sample_splitters(base, groups, total)
     split_a = (np.array([a for a, _ in splitters], np.int64)).view(np.uint64) ^ np.uint64(1 << 63)
     split_b = (np.array([b for _, b in splitters], np.int64)).view(np.uint64) ^ np.uint64(1 << 63)
 
-    def bucket_of(a, b):
+    def buckets_of(a, b):
+        """First and last bucket of each pair of tokens: more than one for pairs that several splitters share."""
         lo, hi = np.searchsorted(split_a, a, "left"), np.searchsorted(split_a, a, "right")
         for i in np.flatnonzero(hi - lo > 1):  # a token that several splitters share: by the next token
-            lo[i] += np.searchsorted(split_b[lo[i] : hi[i]], b[i], "right")
-            hi[i] = lo[i]
-        return np.where(hi > lo, hi, lo)
+            own = split_b[lo[i] : hi[i]]
+            x, y = lo[i] + np.searchsorted(own, b[i], "left"), lo[i] + np.searchsorted(own, b[i], "right")
+            lo[i], hi[i] = (x + 1 if y > x + 1 else y), y
+        return np.where(hi > lo + 1, lo, hi), hi
 
     def candidates(key, left, right):
         """The group's distinct candidate suffixes, packed a bucket a row."""
@@ -295,20 +353,29 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             raw = data.tobytes()
             local = first - offs[doc]
             for d, a, b, p, s in zip((doc[keep] + lo).tolist(), first[keep].tolist(), last[keep].tolist(), at[keep].tolist(), local[keep].tolist(), strict=True):
-                if ids[d] is not None:
-                    found.setdefault((p - a, raw[a : b + LENGTH]), []).append((d, s))
+                found.setdefault((p - a, raw[a : b + LENGTH]), []).append((d, s))
         if not found:
             return schema.empty_table()
         items = list(found.items())
         padded = [s[p : p + 16] for (p, s), _ in items]
         tokens = np.frombuffer(b"".join(padded), ">u8").astype(np.uint64).reshape(-1, 2)
-        place = bucket_of(tokens[:, 0], tokens[:, 1])
+        low, high = buckets_of(tokens[:, 0], tokens[:, 1])
+        places: dict[int, dict] = {}
+        for ((p, s), occ), a, b in zip(items, low.tolist(), high.tolist(), strict=True):
+            if a == b:
+                places.setdefault(a, {})[p, s] = occ
+                continue
+            for near in range(0, _W, _CLASS):
+                first, last = _of_distances(p, len(s) - LENGTH + 1, near, near + _CLASS - 1)
+                if first <= last:
+                    k = a + zlib.crc32(s[p - near : p - near + _SHARED]) % (b - a + 1)
+                    places.setdefault(k, {}).setdefault((p - first, s[first : last + LENGTH]), []).extend((d, x + first) for d, x in occ)
         rows = []
-        for k in np.unique(place).tolist():
-            own = [items[i] for i in np.flatnonzero(place == k)]
+        for k in sorted(places):
+            own = list(places[k].items())
             occ = [o for _, os in own for o in os]
             z = lambda x: pack_u64(np.array(x, np.int64).view(np.uint64))
-            rows.append((k, key[0].as_py(), z([len(s) for (_, s), _ in own]), z([p for (p, _), _ in own]), zlib.compress(b"".join(s for (_, s), _ in own), 1), z([ids[os[0][0]] for _, os in own]), z([len(os) for _, os in own]), z([d for d, _ in occ]), z([s for _, s in occ])))
+            rows.append((k, key[0].as_py(), z([len(s) for (_, s), _ in own]), z([p for (p, _), _ in own]), zlib.compress(b"".join(s for (_, s), _ in own), 1), z([ids[min(os)[0]] for _, os in own]), z([len(os) for _, os in own]), z([d for d, _ in occ]), z([s for _, s in occ])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def resolve(key, t):
@@ -323,11 +390,13 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             strings = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             parts_.append((r, strings, unpack_u64(r["counts"]).astype(np.int64)))
             for s, d, p in zip(strings, least.tolist(), heads.tolist(), strict=True):
-                e = best.setdefault(s, [d, s[p : p + 8]])
+                e = best.setdefault(s, [d, p])
                 e[0] = min(e[0], d)
-        entries = sorted(((e[1], s, e[0]) for s, e in best.items()), key=lambda e: e[0])
-        number = {s: i for i, (_, s, _) in enumerate(entries)}
+        entries = sorted(((s[p : p + K], s, d, p) for s, (d, p) in best.items()), key=lambda e: e[0])
+        number = {e[1]: i for i, e in enumerate(entries)}
         owner, lo, hi, least = (np.concatenate(c) for c in zip(*_in_chunks(entries), strict=True))
+        order = np.lexsort((lo, owner))
+        owner, lo, hi, least = owner[order], lo[order], hi[order], least[order]
         cut = np.searchsorted(owner, np.arange(len(entries) + 1))
         out = []
         for r, strings, counts in parts_:
@@ -342,7 +411,7 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     def finish(key, left, right):
         ids, texts = _sorted_docs(left)
         d, s, n, low = (np.concatenate([unpack_u64(x).view(np.int64) for x in right.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("docs", "starts", "lengths", "least"))
-        own = np.array([i if i is not None else np.iinfo(np.int64).min for i in ids], np.int64)
+        own = np.array(ids, np.int64)
         go = low < own[d]
         d, s, n = d[go], s[go], n[go]
         o = np.lexsort((s, d))
@@ -368,7 +437,8 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     packed = grouped.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(candidates, "bucket int, g int, sizes binary, heads binary, bytes binary, least binary, counts binary, docs binary, starts binary")
     removed = packed.groupBy("bucket").applyInArrow(resolve, "g int, docs binary, starts binary, lengths binary, least binary")
     out = grouped.groupBy("g").cogroup(removed.groupBy("g")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return out.withColumnRenamed("doc_id", id_col)
+    whole = every.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256), F.lit(None).cast("array<long>"))
+    return out.union(whole.toDF(*out.columns)).withColumn("spans", F.coalesce("spans", F.array().cast("array<long>"))).withColumnRenamed("doc_id", id_col)
 
 
 _FINISHED = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.int64())}
