@@ -300,3 +300,54 @@ def test_language_id(spark):
     assert np.mean([o.lang_pred == true[o.doc_id] for o in scored]) > 0.97 and all(0 <= o.score <= 1 for o in out)
     none = language_id.identify(docs, language_id.fit(docs.where("false"))).collect()
     assert {o.lang_pred for o in none} == {"und"}
+
+
+def test_exchange_moves_each_row_once(spark):
+    docs = documents(80) + [(7, "other text under a repeated id", "en", "s", 0), (7, "and one more", "en", "s", 0), (None, None, None, None, None)]
+    df = frame(spark, docs).withColumns({"k1": sharding.F.lit("x"), "Shard": sharding.F.lit(-1)})
+    moved = sharding.exchange(df, shards=4).withColumn("part", sharding.F.spark_partition_id()).collect()
+    assert sorted((tuple(r)[:5] for r in moved), key=str) == sorted(map(tuple, docs), key=str)
+    assert all(r.k1 == "x" and r.Shard == -1 for r in moved)
+    want = Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.assign(frame(spark, docs), shards=4).collect())
+    import zlib
+
+    assert Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard_) for r in moved) == want
+    order = [(r.part, r.shard_) for r in moved]
+    assert order == sorted(order)
+
+
+def test_long_texts_count_as_a_whole(spark, monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abç ß1İ\n") for _ in range(n)) for n in (0, 1, 2, 9, 10, 11, 12, 200)]
+    model = language_id.LanguageModel(["a", "b"], np.random.default_rng(1).normal(size=(language_id.DIM * 3, 2)).astype(np.float32), np.array([0.1, -0.1]), 1.3)
+    whole, counts = model.score(texts), list(language_id._document_counts(texts))
+    monkeypatch.setattr(language_id, "PIECE", 10)
+    parts, again = model.score(texts), list(language_id._document_counts(texts))
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-9)
+    assert all((a[0] == b[0]).all() and np.allclose(a[1], b[1]) for a, b in zip(counts, again, strict=True))
+
+
+def test_ftrl_matches_a_plain_version():
+    r = np.random.default_rng(2)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 1.0, 1.0, 1e-3, 1e-4
+    z, n = [[[0.0] * 3 for _ in range(13)] for _ in range(2)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - np.sign(z[i][k]) * l1) / ((beta + n[i][k] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for ids, values, y in rows:
+            x = [*zip(ids.tolist(), values.tolist()), (12, 1.0)]
+            e = [np.exp(sum(v * weight(i, k) for i, v in x)) for k in range(3)]
+            old = {(i, k): weight(i, k) for i, _ in x for k in range(3)}
+            for k in range(3):
+                for i, v in x:
+                    g = (e[k] / sum(e) - (k == y)) * v
+                    s = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / alpha
+                    z[i][k] += g - s * old[i, k]
+                    n[i][k] += g * g
+    w, b = language_id.train_ftrl(rows, 12, 3)
+    assert np.allclose(w, [[weight(i, k) for k in range(3)] for i in range(12)]) and np.allclose(b, [weight(12, k) for k in range(3)])

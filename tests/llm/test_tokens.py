@@ -154,3 +154,20 @@ def test_stable_packs_and_wide_positions(spark, monkeypatch):
     wide = packing.pack(frame(spark, [(1, "b c " * 50_000, "", "", 0)]), row=80_000).collect()
     assert len(wide) == 2 and np.frombuffer(wide[0].positions, "<u4").max() == 79_999
     assert packing.pack(frame(spark, []), stable=True).count() == 0
+
+
+def test_long_texts_in_pieces_have_the_tokens_of_the_whole(monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["the ", "ing", " a", "é", "▁", "中", "zz", "\n", "ou"]) for _ in range(n)) for n in (0, 5, 300, 900)] + ["a" * 500, "short"]
+    keys = np.arange(len(texts))
+    for dropout in (0.0, 0.3):
+        enc = sp.Encoder(VOCAB, dropout, 2)
+        whole = enc.encode(texts, keys)
+        monkeypatch.setattr(sp, "PIECE", 40)
+        parts = enc.encode(texts, keys)
+        monkeypatch.undo()
+        assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+    monkeypatch.setattr(sp, "PIECE", 40)
+    monkeypatch.setattr(sp, "SEGMENT", 100)
+    ids, counts = enc.encode(texts, keys)
+    assert [d.decode() for d in enc.decode(ids, counts)] == texts

@@ -1,7 +1,11 @@
 """Shared helpers of the training-data operators.
 
 * ``materialize`` cuts lineage by a Parquet table in the folder that the
-  session names in ``spark.checkpoint.dir``.
+  session names in ``spark.checkpoint.dir``, below one folder for each
+  application; ``discard`` removes a table that nothing reads any more, ``purge``
+  all of an application's.
+* ``bounded`` limits the rows and bytes of Arrow batches by the session's
+  settings, which are read when a plan is made and so stay changed.
 * ``text_slices`` views Arrow text columns as NumPy bytes without copying, in
   slices of bounded size, so a worker never holds more than one slice's arrays.
 * ``pack_u64`` / ``unpack_u64`` move integer vectors through shuffles as one
@@ -22,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text whose NumPy intermediates a worker holds at once.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch between the JVM and a worker; whole texts make the stock 10,000 too large for small executors.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and a worker; whole texts make the stock ones too large for small executors.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +40,33 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{base.rstrip('/')}/worklode-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
+    return f"{base.rstrip('/')}/worklode-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind ``materialize``'s result; nothing may read it afterwards."""
+    if path := getattr(df, "worklode_path", None):
+        _delete(df.sparkSession, path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialised, once its results are written."""
+    _delete(spark, _application_dir(spark))
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -46,14 +74,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.worklode_path = path
+    return out
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` itself, once the session's Arrow batches hold BATCH_ROWS rows at most."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """``df`` itself, once the session's Arrow batches hold BATCH_ROWS rows and BATCH_BYTES bytes (or one row) at most."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(name).removesuffix("b")) <= most:
+            conf.set(name, str(most))
     return df
 
 

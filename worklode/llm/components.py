@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklode.llm.common import materialize
+from worklode.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _print(edges)
     while seen[0]:
-        edges = materialize(_star(_star(edges, True), False))
+        before, edges = edges, materialize(_star(_star(edges, True), False))
+        discard(before)
         now = _print(edges)
         if now == seen:
             break

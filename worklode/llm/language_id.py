@@ -10,10 +10,15 @@ Document frequencies cover every training document; the weights are fitted on
 at most ``train_rows`` labelled documents for each language (a documented
 bound), chosen by hash. Whole texts are read at either step.
 
+Long texts are counted a piece at a time, so a worker holds one piece's arrays.
+Languages with fewer than ``min_rows`` labelled documents are no class, so the
+classes are at most the labelled rows divided by that.
+
 Defined results: null, empty and letterless texts give ``und`` with score 0;
-with no labelled document at all, every text gives ``und``; repeated rows each
-get their own answer; other columns are ignored by the query and kept by
-``identify``.
+with no labelled document at all, and for an empty table, no text is anything
+else; repeated rows each get their own answer; other columns are ignored by the
+query and kept by ``identify``, but for those named as its outputs, which it
+replaces (callers who need them pass other names).
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ from pyspark.sql import types as T
 
 from worklode.llm.common import bounded, column, text_slices
 
-#: Hash buckets for each n-gram length.
+#: Hash buckets for each n-gram length, and characters counted at once.
 DIM = 1 << 14
+PIECE = 1 << 20
 LENGTHS = (1, 2, 3)
 UNDETERMINED = "und"
 _LETTER: np.ndarray | None = None
@@ -43,9 +49,28 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def featurise(texts: list[str]):
-    """(document of each n-gram, feature of each n-gram, has_letter per document), by n-gram length."""
-    low = [t.lower() for t in texts]
+def pieces(texts: list[str]):
+    """Lower-cased texts as (documents, pieces, n-gram starts in each piece) lists of about PIECE characters.
+
+    A piece of a longer text sees two characters on, so every n-gram starts in one piece.
+    """
+    held, size = [], 0
+    for d, t in enumerate(texts):
+        low = t.lower()
+        for lo in range(0, max(1, len(low)), PIECE):
+            last = lo + PIECE >= len(low)
+            part = low if last and not lo else low[lo:] if last else low[lo : lo + PIECE + LENGTHS[-1] - 1]
+            held.append((d, part, len(part) + 1 if last else PIECE))
+            size += len(part)
+            if size >= PIECE:
+                yield tuple(zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
+def featurise(low: list[str], limits: list[int] | None = None):
+    """(document of each n-gram, feature of each n-gram) by n-gram length, and has_letter per document, of lower-cased texts."""
     lens = np.fromiter(map(len, low), np.int64, len(low)) + 1
     codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
@@ -53,6 +78,10 @@ def featurise(texts: list[str]):
     has = np.add.reduceat(letter, starts) > 0
     x = np.where(letter, codes, np.uint32(32))
     doc = np.repeat(np.arange(len(low), dtype=np.int32), lens)
+    mine = np.ones(len(x), bool)
+    if limits is not None:
+        for i in np.flatnonzero(np.array(limits) < lens):
+            mine[starts[i] + limits[i] : starts[i] + lens[i]] = False
     out = []
     h = np.zeros(len(x), np.uint32)
     any_letter = np.zeros(len(x), bool)
@@ -63,23 +92,21 @@ def featurise(texts: list[str]):
         h = (h[:m] + x[n - 1 :][:m]) * np.uint32(0x9E3779B1)
         h = h ^ (h >> np.uint32(15))
         any_letter = any_letter[:m] | letter[n - 1 :][:m]
-        keep = any_letter & (doc[:m] == doc[n - 1 :][:m])
+        keep = any_letter & (doc[:m] == doc[n - 1 :][:m]) & mine[:m]
         out.append((doc[:m][keep], (h[keep] & np.uint32(DIM - 1)).astype(np.int32) + k * DIM))
     return out, has
 
 
 def _document_counts(texts: list[str]):
     """For each document its sparse TF: (feature ids, values)."""
-    grams, has = featurise(texts)
-    for d in range(len(texts)):
-        ids, values = [], []
-        for doc, f in grams:
-            lo, hi = np.searchsorted(doc, [d, d + 1])
-            if hi > lo:
-                u, c = np.unique(f[lo:hi], return_counts=True)
-                ids.append(u)
-                values.append(c / (hi - lo))
-        yield (np.concatenate(ids), np.concatenate(values)) if ids else (np.zeros(0, np.int32), np.zeros(0))
+    for t in texts:
+        counts, sizes = np.zeros(DIM * len(LENGTHS)), np.zeros(len(LENGTHS))
+        for _, low, limits in pieces([t]):
+            for k, (_, f) in enumerate(featurise(low, limits)[0]):
+                counts += np.bincount(f, minlength=len(counts))
+                sizes[k] += len(f)
+        ids = np.flatnonzero(counts).astype(np.int32)
+        yield ids, counts[ids] / sizes[ids // DIM]
 
 
 @dataclass
@@ -93,14 +120,19 @@ class LanguageModel:
         n = len(texts)
         if not self.langs:
             return [UNDETERMINED] * n, np.zeros(n)
-        grams, has = featurise(texts)
-        z = np.tile(self.bias, (n, 1))
-        for doc, f in grams:
-            if len(doc):
-                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                size = np.diff(np.r_[at, len(doc)])
-                for k in range(len(self.langs)):
-                    z[doc[at], k] += np.add.reduceat(self.table[:, k][f], at, dtype=np.float64) / size
+        has, sums, sizes = np.zeros(n, bool), np.zeros((len(LENGTHS), n, len(self.langs))), np.zeros((len(LENGTHS), n))
+        for owner, low, limits in pieces(texts):
+            owner = np.array(owner)
+            grams, some = featurise(low, limits)
+            has[owner[some]] = True
+            for g, (doc, f) in enumerate(grams):
+                if len(doc):
+                    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    to = owner[doc[at]]
+                    np.add.at(sizes[g], to, np.diff(np.r_[at, len(doc)]))
+                    for k in range(len(self.langs)):
+                        np.add.at(sums[g, :, k], to, np.add.reduceat(self.table[:, k][f], at, dtype=np.float64))
+        z = self.bias + (sums / np.maximum(sizes, 1)[:, :, None]).sum(0)
         p = _softmax(z / self.temperature)
         best = p.argmax(1)
         return [self.langs[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, p.max(1), 0.0)
@@ -153,23 +185,28 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", train_rows=300, seed=9) -> LanguageModel:
-    """Fit on ``train``: counts over all its rows, weights on ``train_rows`` documents a language at most."""
+def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", train_rows=300, seed=9, min_rows=2) -> LanguageModel:
+    """Fit on ``train``: counts over all its rows, weights on ``train_rows`` documents a language at most, of languages with ``min_rows``."""
     base = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
     size = DIM * len(LENGTHS)
 
     def count(batches):
         df, docs, seen = np.zeros(size + 1, np.int64), 0, np.zeros(size, bool)
         for b, _, _ in text_slices(batches, "t"):
-            texts = column(b, "t").to_pylist()
-            grams, _ = featurise(texts)
-            cuts = [np.searchsorted(doc, np.arange(len(texts) + 1)) for doc, _ in grams]
-            for d in range(len(texts)):
-                for (_, f), c in zip(grams, cuts, strict=True):
-                    seen[f[c[d] : c[d + 1]]] = True
-                df[:size] += seen
-                seen[:] = False
-            docs += len(texts)
+            current = 0
+            for owner, low, limits in pieces(column(b, "t").to_pylist()):
+                grams, _ = featurise(low, limits)
+                cuts = [np.searchsorted(doc, np.arange(len(low) + 1)) for doc, _ in grams]
+                for i, d in enumerate(owner):
+                    if d != current:
+                        df[:size] += seen
+                        seen[:] = False
+                        current = d
+                    for (_, f), c in zip(grams, cuts, strict=True):
+                        seen[f[c[i] : c[i + 1]]] = True
+            df[:size] += seen
+            seen[:] = False
+            docs += b.num_rows
         df[size] = docs
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["f", "n"])
@@ -190,7 +227,7 @@ def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", tra
     # a bounded top-k of hash keys for each language, on ids alone; then one scan for the texts of those keys
     keyed = base.withColumn("k", F.xxhash64(F.lit(seed), F.col("i").cast("string")))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("k"))
-    cut = {r.l: r.k for r in keyed.select("k", "l").withColumn("r", rank).where(F.col("r") <= train_rows).groupBy("l").agg(F.max("k").alias("k")).collect()}
+    cut = {r.l: r.k for r in keyed.select("k", "l").withColumn("r", rank).where(F.col("r") <= train_rows).groupBy("l").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).collect()}
     langs = sorted(cut)
     chosen = F.lit(False)
     for lang in langs:
@@ -207,7 +244,7 @@ def fit(train: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", tra
 
 def identify(df: DataFrame, model: LanguageModel, text_col="text", lang_out="lang_pred", score_out="score") -> DataFrame:
     """Append the predicted language and its calibrated probability to every row."""
-    clash = {lang_out, score_out} & set(df.columns)
+    clash = [c for c in df.columns if c.lower() in (lang_out.lower(), score_out.lower())]
     if clash:
         df = df.drop(*clash)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most DIM * 3 features by the number of languages

@@ -11,10 +11,12 @@ itself where a text contains it, and decoding is exact.
 
 Segments that no piece can cross are independent, so one round pops the best
 candidate of every segment of a slice at once; segments of over ``LONG`` symbols
-run their own heap.
+run their own heap. Long texts go a piece at a time, cut between segments, so a
+worker holds one piece's arrays and the tokens are those of the whole.
 
 Defined results: null and empty texts have no tokens and decode to the empty
-text; repeated rows have equal tokens; a null doc_id hashes as 0; extra columns
+text; a segment of over ``SEGMENT`` symbols (one word or run of that length) is
+encoded in parts of that many, so no merge crosses a part's end; repeated rows have equal tokens; a null doc_id hashes as 0; extra columns
 are ignored by ``encode``.
 """
 
@@ -34,6 +36,8 @@ from worklode.llm.common import bounded, column, mix64, ranges, text_slices
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 256
+#: Characters encoded at once, and symbols of one segment that are.
+PIECE, SEGMENT = 1 << 18, 1 << 19
 _NONE = np.int64(1 << 62)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CROSS_BITS = 22
@@ -183,6 +187,19 @@ class Encoder:
 
     def encode(self, texts: list[str], doc_keys: np.ndarray):
         """(ids of all texts one after another, number of ids of each text)."""
+        long = [d for d, t in enumerate(texts) if len(t) > PIECE]
+        if long:
+            parts, sizes, lo = [], [], 0
+            for d in [*long, len(texts)]:
+                ids, counts = self.encode(texts[lo:d], doc_keys[lo:d])
+                parts.append(ids)
+                sizes += counts.tolist()
+                if d < len(texts):
+                    found = list(self._encode_long(texts[d], doc_keys[d : d + 1]))
+                    parts += found
+                    sizes.append(sum(map(len, found)))
+                lo = d + 1
+            return np.concatenate(parts), np.array(sizes, np.int64)
         n_docs = len(texts)
         joined = "".join(" " + t if t else "" for t in texts)
         if not joined:
@@ -195,10 +212,38 @@ class Encoder:
         doc = np.repeat(np.arange(n_docs), sizes)
         pos = np.arange(n) - first[doc]
         key = mix64(doc_keys.astype(np.uint64) + np.uint64(1))[doc]
-        begins = np.ones(n, bool)
+        return self._merge(cp, sym, doc, pos, key, n_docs)
+
+    def _begins(self, sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Does a segment begin at each symbol?"""
+        begins = np.ones(len(sym), bool)
         begins[1:] = (doc[1:] != doc[:-1]) | (sym[1:] < 0) | (sym[:-1] < 0)
         inner = np.flatnonzero(~begins)
         begins[inner] = ~self.v.cross[self.v._pair_slot(sym[inner - 1], sym[inner])]
+        return begins
+
+    def _encode_long(self, text: str, key: np.ndarray):
+        """Ids of one text, a piece between segments at a time."""
+        key = mix64(key.astype(np.uint64) + np.uint64(1))
+        lo, size, n = 0, PIECE, len(text) + 1
+        while lo < n:
+            part = (" " + text[: size - 1]) if not lo else text[lo - 1 : lo - 1 + size]
+            cp = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            sym = self.table[cp].astype(np.int64)
+            m = len(sym)
+            if lo + m < n:
+                at = np.flatnonzero(self._begins(sym, np.zeros(m, np.int8)))
+                if at[-1] == 0 and size < SEGMENT:
+                    size *= 2
+                    continue
+                m = int(at[-1]) or m
+            yield self._merge(cp[:m], sym[:m], np.zeros(m, np.int64), np.arange(lo, lo + m), np.repeat(key, m), 1)[0]
+            lo, size = lo + m, PIECE
+
+    def _merge(self, cp, sym, doc, pos, key, n_docs):
+        """(ids, number of ids of each document) of symbols that begin with a segment."""
+        n = len(sym)
+        begins = self._begins(sym, doc)
         start = np.flatnonzero(begins)
         length = np.diff(np.r_[start, n])
         out_sym, out_at = [sym[start[length == 1]]], [start[length == 1]]

@@ -1,11 +1,12 @@
 """Sharding into byte-balanced shards by histogram sort, on DataFrame functions alone.
 
-Documents are ordered by (hash of the text, doc_id, salt): equal texts are
+Documents are ordered by (hash of the text, hash of doc_id and text): equal texts are
 neighbours, so a group of copies is cut only where balance needs it. The order
 is a string of digits. Each round counts the exact bytes below every candidate
 boundary at one more digit, for the few prefixes that still hold a shard's
 target, and the probes narrow until every splitter is within tolerance. Then
-one exchange moves each document to its shard.
+one exchange moves each document to its shard (``exchange``; ``assign`` tells the
+places without moving the texts).
 
 The counting rounds read a narrow table (key digits and sizes), written once to
 the shared folder; the driver receives at most ``shards * 2**DIGIT`` counts a
@@ -13,9 +14,11 @@ round. Slots are gapless numbers in each shard: row numbers inside small cells
 of the key plus the counts of the cells before, so that no shard has to fit in
 one task.
 
-Defined results: a null text has size 1 and the crc of no bytes; repeated rows
-are told apart by nothing, so each gets a slot of its own; an empty table gives
-no rows; with fewer documents than shards some shards are empty.
+Defined results: a null text has size 1 and the crc of no bytes; a null doc_id is
+one value among others; repeated rows are told apart by nothing, so each gets a
+slot of its own, in any order; an empty table gives no rows; with fewer documents
+than shards some shards are empty; ``exchange`` keeps extra columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklode.llm.common import materialize
+from worklode.llm.common import free_name, materialize
 
 #: Bits of a digit; digits of the text's hash and of the document's hash.
 DIGIT, DIGITS = 11, 12
@@ -40,14 +43,23 @@ def _digit(i: int) -> Column:
     return F.col(key).bitwiseAND(F.lit((1 << (DIGIT + left)) - 1).cast("long"))
 
 
+def _cell() -> Column:
+    """Text-hash prefix and document-hash prefix, so a hot text is spread over 2 ** _SALT cells."""
+    return (F.shiftrightunsigned("k1", 64 - _CELL) * (1 << _SALT) + F.shiftrightunsigned("k2", 64 - _SALT)).cast("int")
+
+
+def _key_columns(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(2), docs[id_col].cast("string"), text).alias("k2")
+
+
 def keys(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("k1"),
-        F.xxhash64(F.lit(2), F.col(id_col).cast("string"), text).alias("k2"),
+        *_key_columns(docs, id_col, text_col),
     )
 
 
@@ -108,9 +120,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col="doc_id", text_col="text", t
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
     keyed = materialize(keys(docs, id_col, text_col))
     placed = keyed.withColumn("shard", shard_of(splitters(keyed, shards, tolerance)))
-    # cells: text-hash prefix and document-hash prefix, so a hot text is spread over 2 ** _SALT cells
-    cell = (F.shiftrightunsigned("k1", 64 - _CELL) * (1 << _SALT) + F.shiftrightunsigned("k2", 64 - _SALT)).cast("int")
-    placed = placed.withColumn("cell", cell)
+    placed = placed.withColumn("cell", _cell())
     sums = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("start"))
     number = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k1", "k2"))
@@ -121,6 +131,11 @@ def assign(docs: DataFrame, shards: int = 8, id_col="doc_id", text_col="text", t
     )
 
 
-def exchange(docs: DataFrame, assigned: DataFrame, id_col="doc_id") -> DataFrame:
-    """The documents themselves, moved once: a partition range for each shard, in slot order."""
-    return docs.join(assigned.select(id_col, "shard", "slot"), id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+def exchange(docs: DataFrame, shards: int = 8, id_col="doc_id", text_col="text", tolerance: float = 0.001) -> DataFrame:
+    """The documents themselves with their shard (as ``shard`` or the next free name), moved once: ranges of (shard, slot order)."""
+    bounds = splitters(materialize(keys(docs, id_col, text_col)), shards, tolerance)
+    name = free_name("shard", docs.columns)
+    k1, k2 = _key_columns(docs, id_col, text_col)
+    held = docs.select(F.struct("*").alias("d"), k1, k2).withColumn("s", shard_of(bounds)).withColumn("cell", _cell())
+    moved = held.repartitionByRange("s", "cell", "k1", "k2").sortWithinPartitions("s", "cell", "k1", "k2")
+    return moved.select("d.*", F.col("s").alias(name))
