@@ -61,4 +61,35 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(coales
 FROM d JOIN m ON m.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
 """
 
-SQL = {"op7_quality_rules": QUALITY, "op1_suffix_dedup": SUBSTRINGS, "op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}
+#: (host, path) rules by rising length, the later the stronger.
+_RULES = "CASE WHEN {f[4]} THEN 'www.example.com/en/' WHEN {f[3]} THEN 'example.com/en/' WHEN {f[2]} THEN 'net/fr/' WHEN {f[1]} THEN 'net/es/' WHEN {f[0]} THEN 'com/' END"
+_FITS = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for h, p in (("com", "/"), ("net", "/es/"), ("net", "/fr/"), ("example.com", "/en/"), ("www.example.com", "/en/"))]
+
+
+def _witten_bell(k: int) -> str:
+    """Probabilities of order ``k`` grams, smoothed into those of the order below."""
+    lower = "1 / 256.0" if not k else "l.p{c}"
+    p = ", ".join(f"CASE WHEN t{c} > 0 THEN (n{c} + u{c} * {lower.format(c=c)}) / (t{c} + u{c}) ELSE {lower.format(c=c)} END AS p{c}" for c in (0, 1))
+    below = f" JOIN p{k - 1} l ON substr(s.g, 3) = l.g" if k else ""
+    return f"p{k} AS MATERIALIZED (SELECT s.g, {p} FROM stat s{below} WHERE k = {k})"
+
+
+URLS = f"""
+WITH h AS (SELECT page_id, coalesce(url, '') AS u, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  r AS (SELECT *, row_number() OVER () AS i, {_RULES.format(f=_FITS)} AS rule, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % 5 = 0 AS fifth FROM h),
+  b AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 0 WHEN rule IS NOT NULL THEN 1 END AS c FROM r),
+  full_g AS (SELECT i, c, fifth, substr('________' || hex(encode(u)), 2 * o + 1, 10) AS g FROM (SELECT *, unnest(range(0, strlen(u))) AS o FROM b)),
+  seen AS (SELECT g, count(*) FILTER (c = 0 AND NOT fifth) AS n0, count(*) FILTER (c = 1 AND NOT fifth) AS n1 FROM full_g GROUP BY 1),
+  grams AS (SELECT k, substr(g, 9 - 2 * k) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM (SELECT g, n0, n1, unnest(range(0, 5)) AS k FROM seen) GROUP BY 1, 2),
+  stat AS MATERIALIZED (SELECT *, sum(n0) OVER w AS t0, sum(n1) OVER w AS t1, count(*) FILTER (n0 > 0) OVER w AS u0, count(*) FILTER (n1 > 0) OVER w AS u1 FROM grams WINDOW w AS (PARTITION BY k, substr(g, 1, 2 * k))),
+  {", ".join(_witten_bell(k) for k in range(5))},
+  ratio AS (SELECT i, sum(ln(p0) - ln(p1)) / count(*) AS x FROM full_g JOIN p4 USING (g) GROUP BY 1),
+  bins AS (SELECT q, count(*) FILTER (c = 0) AS a, count(*) FILTER (c = 1) AS z FROM (SELECT c, CAST(greatest(0, least(399, floor((coalesce(x, 0) + 4) / 8 * 400))) AS INTEGER) AS q FROM b LEFT JOIN ratio USING (i) WHERE c IS NOT NULL AND fifth) GROUP BY 1),
+  edges AS (SELECT e, coalesce(sum(a) FILTER (q < e), 0) / greatest(coalesce(sum(a), 0), 1) + coalesce(sum(z) FILTER (q >= e), 0) / greatest(coalesce(sum(z), 0), 1) AS wrong FROM (SELECT unnest(range(0, 401)) AS e) LEFT JOIN bins ON true GROUP BY 1),
+  cut AS (SELECT min(e) / 400.0 * 8 - 4 AS t FROM edges WHERE wrong = (SELECT min(wrong) FROM edges)),
+  used AS (SELECT count(*) FILTER (c = 0 AND NOT fifth AND u <> '') > 0 AND count(*) FILTER (c = 1 AND NOT fifth AND u <> '') > 0 AS usable FROM b)
+SELECT page_id, host, path, rule, CASE WHEN c = 0 THEN 'allow' WHEN c = 1 THEN 'block' WHEN NOT usable OR u = '' OR coalesce(x, 0) >= t THEN 'allow' ELSE 'block' END AS verdict
+FROM b LEFT JOIN ratio USING (i), cut, used
+"""
+
+SQL = {"op5_url_filter": URLS, "op7_quality_rules": QUALITY, "op1_suffix_dedup": SUBSTRINGS, "op6_decontamination": DECONTAMINATION, "op8_minhash_near_dedup": NEAR_DUPLICATES}

@@ -7,13 +7,17 @@ its byte are one integer, and they stay a distributed table that grows with the
 distinct grams; nothing of it is gathered but order 0 (256 bytes). URLs are
 scored in slices of bounded size: the distinct grams of a slice are joined with
 the counts, so a frequent gram costs one row a slice. A URL without a rule is
-judged by the difference of its two log-likelihoods per character against a
-threshold calibrated on a fifth of the ruled URLs that the counting leaves out.
+judged by the difference of its two log-likelihoods per byte, over the whole
+URL from scheme to fragment, against a threshold calibrated on a fifth of the
+ruled hosts, whose URLs the counting leaves out: the lowest one with the least
+sum of error rates, so that what is like neither class is allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path
-and no rule; an empty host and path carry no evidence and are allowed; if no
-URL is accepted or none rejected by rule, the ratio has nothing to compare and
-allows; ties at the threshold are allowed; repeated rows each get a verdict.
+and no rule; a null or empty url carries no evidence and is allowed, as is any
+very long one judged like the others; if no URL is accepted or none rejected by
+rule outside the calibrating fifth, the ratio has nothing to compare and allows;
+with none inside it the threshold is the lowest; ties at the threshold are
+allowed; repeated rows each get a verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,10 +179,15 @@ class UrlModel:
         return (self.ratio(data, offs) >= self.threshold) | (np.diff(offs) == 0)
 
 
-def fit(ruled: DataFrame, text="s", verdict="verdict", key="u") -> UrlModel:
-    """Count both models over all ruled URLs but a hashed fifth, and calibrate the threshold on that fifth."""
-    part = F.pmod(F.xxhash64(F.lit(5), key), F.lit(5))
-    ruled = ruled.select(text, (F.col(verdict) == "block").cast("int").alias("c"), (part == 0).alias("cal"))
+def host_fifth(host="host") -> Column:
+    """Is the host among the fifth that calibrates?"""
+    return F.conv(F.substring(F.md5(F.col(host).cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
+
+
+def fit(ruled: DataFrame, text="s", verdict="verdict", key="u", calibrates: Column | None = None) -> UrlModel:
+    """Count both models over all ruled URLs but those that calibrate (a hashed fifth by ``key`` if not said), and calibrate on these."""
+    part = F.pmod(F.xxhash64(F.lit(5), key), F.lit(5)) == 0 if calibrates is None else calibrates
+    ruled = ruled.select(text, (F.col(verdict) == "block").cast("int").alias("c"), part.alias("cal"))
 
     def count(batches):
         held, size = [], 0
@@ -215,7 +224,7 @@ def fit(ruled: DataFrame, text="s", verdict="verdict", key="u") -> UrlModel:
     accepted, rejected = h.reshape(2, _BINS)
     wrong = np.r_[0, np.cumsum(accepted)] / max(accepted.sum(), 1) + (rejected.sum() - np.r_[0, np.cumsum(rejected)]) / max(rejected.sum(), 1)
     best = np.flatnonzero(wrong == wrong.min())
-    model.threshold = float(best[len(best) // 2] / _BINS * 2 * _SPAN - _SPAN)
+    model.threshold = float(best[0] / _BINS * 2 * _SPAN - _SPAN)
     return model
 
 
@@ -223,8 +232,8 @@ def judge(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES) -> Dat
     """page id, host, path, rule and verdict of each row."""
     df = pages.select(F.col(id_col), F.col(url_col).alias("u")).withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u"))})
     rule, verdict = apply_rules(df, rules)
-    df = df.withColumns({"rule": rule, "verdict": verdict, "s": F.concat("host", "path")})
-    model = fit(df.where("verdict is not null").select("u", "s", "verdict"))
+    df = df.withColumns({"rule": rule, "verdict": verdict, "s": F.coalesce("u", F.lit(""))})
+    model = fit(df.where("verdict is not null").select("host", "s", "verdict"), calibrates=host_fifth())
     names = [c for c in df.columns if c not in ("u", "s")]
     if not model.usable:
         return df.withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(names)
