@@ -2,16 +2,19 @@
 
 Base patterns (email, ip, card, phone) are searched over the whole text in time
 linear in its length. The model looks at stretches of atoms (alphanumeric runs
-and single signs) around digits and ``@``; whole-span features score every
-candidate segment of at most ``MAX_ATOMS`` atoms, and dynamic programming picks
-boundaries and types jointly. Its weights are trained by the conditional
-likelihood of generated sentences (seeded generator, forward-backward
-gradients). Base spans always stay; a model span is added where it overlaps
-none of them. It knows the four base kinds and ``secret`` (keys and tokens).
+and single signs) around digits, ``@`` and values assigned to a word for a
+secret; whole-span features score every candidate segment of at most
+``MAX_ATOMS`` atoms, and dynamic programming picks boundaries and types jointly.
+Its weights are trained by the conditional likelihood of generated sentences
+(seeded generator, forward-backward gradients). Base spans always stay; a model
+span is added where it overlaps none of them. It knows the four base kinds and
+``secret``: hex, base64 and prefixed keys, signed tokens, passwords.
 
 Defined results: null and empty texts have no spans; spans are code points, end
-exclusive; rows are judged one by one, so repeated rows agree; texts without
-digits and ``@`` cost one search; other columns are kept by ``redact``.
+exclusive; rows are judged one by one, so repeated rows and null ids agree; an
+empty table gives no rows; a very long text is read in stretches around its
+triggers; texts without a trigger cost one search; other columns are kept by
+``redact``.
 """
 
 from __future__ import annotations
@@ -31,14 +34,16 @@ from worklode.llm.common import bounded, column, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-MAX_ATOMS = 12
+MAX_ATOMS = 16
 #: A digit run that begins inside a run cannot match where the whole run did not, so runs are tried from their start.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TRIGGER = re.compile(r"[0-9@]")
+_DIGIT, _TRIGGER = re.compile(r"[0-9@]"), re.compile(r"[0-9@=:]")
+#: What stands before the sign that assigns a secret.
+_NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|key)[\"']?\s?$")
 _ATOM = re.compile(r"[^\W_]+|[^\s\w]|_")
 #: Atoms before and after a trigger that the model sees; characters that end its stretch.
 _AROUND = 4
@@ -73,7 +78,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The contract's spans, by start, then kind."""
     out = [(a, b, "email") for a, b in _emails(text)]
-    if _TRIGGER.search(text):
+    if _DIGIT.search(text):
         out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() <= 37:
@@ -86,12 +91,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # -- the semi-Markov model ---------------------------------------------------
 
-_CUES = {"token", "key", "secret", "password", "api", "auth", "phone", "tel", "call", "fax", "mail", "email", "e-mail", "card", "visa", "ip", "host", "addr", "address"}
+_CUES = {"token", "key", "secret", "password", "passwd", "pwd", "bearer", "api", "auth", "phone", "tel", "call", "fax", "mail", "email", "e-mail", "card", "visa", "ip", "host", "addr", "address"}
 
 
 @lru_cache(maxsize=1 << 16)
-def _shape(span: str, cue: str) -> tuple[str, ...]:
-    """Features of a whole candidate span, told apart by kind when scored."""
+def _shape(span: str, cue: str, before: str = "", after: str = "") -> tuple[str, ...]:
+    """Features of a whole candidate span and the signs at its sides, told apart by kind when scored."""
     digits = sum("0" <= c <= "9" for c in span)
     letters = sum(c.isalpha() for c in span)
     signs = "".join(sorted({c for c in span if not c.isalnum()}))
@@ -107,13 +112,42 @@ def _shape(span: str, cue: str) -> tuple[str, ...]:
         f.append(f"plus={9 <= digits <= 15}")
     if span.isalnum() and len(span) >= 16 and digits and letters:
         f.append(f"mixed={min(len(span) // 8, 5)},{all(c in '0123456789abcdefABCDEF' for c in span)}")
+    solid = " " not in span and "@" not in span
+    cases = any(c.islower() for c in span) + any(c.isupper() for c in span)
+    if solid and letters and len(span) >= 16:
+        f.append(f"key={min(len(span) // 8, 8)},{cases},{bool(digits)},{bool(signs.strip('+/=_-.'))}")
+        f.append(f"sides={before},{after}")
+    if solid and letters and 6 <= len(span) < 40:
+        f.append(f"word={min(len(span) // 6, 3)},{cases},{bool(digits)},{cue in _ASSIGNED}")
+    if m := _PREFIX.match(span):
+        f.append(f"prefix={m[0]},{len(span) >= 20},{min(span.count('.'), 3)}")
     return tuple(f)
 
 
+_ASSIGNED = {f"{w}=" for w in ("token", "key", "secret", "password", "passwd", "pwd")}
+#: Signs inside keys: a span beside one may be a part.
+_JOINS = frozenset("+/=_-.")
+#: Beginnings of widely used key formats (fixed values).
+_PREFIX = re.compile(r"AKIA|ghp_|sk-|eyJ|xox[bp]-|AIza")
+
+
+def _hot(text: str, atoms: list[tuple[int, int]]) -> list[bool]:
+    """Has an atom a digit or @, or is it the beginning of a value assigned to a word for a secret?"""
+    out, named = [], False
+    for a, b in atoms:
+        c = text[a]
+        out.append(named and c.isalpha() or bool(_DIGIT.search(text, a, b)))
+        if c in "=:":
+            named = bool(_NAMED.search(text, max(0, a - 12), a))
+        elif c not in "\"'":
+            named = False
+    return out
+
+
 def _candidates(text: str, atoms: list[tuple[int, int]]):
-    """For each end: [(start, features)] of spans that may be an entity: with a digit or @, no line break, no wide gap."""
+    """For each end: [(start, features)] of spans that may be an entity: with a hot atom, no line break, no wide gap."""
     n, out = len(atoms), []
-    has = [bool(_TRIGGER.search(text, a, b)) for a, b in atoms]
+    has = _hot(text, atoms)
     low = [text[a:b].lower() for a, b in atoms]
     for j in range(n):
         here, seen = [], False
@@ -124,8 +158,9 @@ def _candidates(text: str, atoms: list[tuple[int, int]]):
             if i < j and atoms[i + 1][0] > atoms[i][1] and text[atoms[i][1]] != " ":
                 break
             if seen and not (text[atoms[j][0]] in ".,;:!?" and i < j):
-                cue = next((w for w in reversed(low[max(0, i - 3) : i]) if w in _CUES), "")
-                here.append((i, _shape(text[atoms[i][0] : atoms[j][1]], cue)))
+                cue = next((w for w in reversed(low[max(0, i - 3) : i]) if w in _CUES), "") + ("=" if {"=", ":"} & set(low[max(0, i - 2) : i]) else "")
+                a, b = atoms[i][0], atoms[j][1]
+                here.append((i, _shape(text[a:b], cue, *(c if c in _JOINS else "" for c in (text[a - 1 : a], text[b : b + 1])))))
         out.append(here)
     return out
 
@@ -212,9 +247,15 @@ def _sentences(seed: int, n: int):
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice((f"+1 ({num(3)}) 555-{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"+{num(11)}", f"+{num(2)}-{num(3)}-{num(7)}")),
-        "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40, 64)))),
     }
-    fake = (lambda: num(r.randint(1, 8)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: word() + num(2), lambda: f"@{word()}", lambda: num(16) if r.random() < 0.2 else num(4) + " " + num(4), lambda: f"{num(3)}.{num(1)}%", lambda: ".".join(num(1) for _ in range(5)))
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    alnum = letters + letters.upper() + "0123456789"
+    of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    #: Secrets that show by themselves, and those that only an assignment shows.
+    plain = (lambda: of(hexa, r.choice((32, 40, 64))), lambda: "AKIA" + of(letters.upper() + "234567", 16), lambda: "ghp_" + of(alnum, 36), lambda: "sk-" + of(alnum, r.choice((32, 48))), lambda: of(alnum + "+/", r.choice((40, 64))) + r.choice(("", "=", "==")), lambda: f"xoxb-{num(11)}-{of(alnum, 24)}", lambda: "AIza" + of(alnum + "_-", 35), lambda: f"eyJ{of(alnum, r.randint(15, 30))}.eyJ{of(alnum, r.randint(20, 60))}.{of(alnum + '_-', 43)}".rstrip("-_"))
+    told = (lambda: of(hexa, 24), lambda: of(alnum, r.randint(10, 20)), lambda: of(letters, r.randint(9, 20)), lambda: word() + of("!#$%&*", 1) + word() + num(2), lambda: of(letters + letters.upper(), r.randint(12, 24)))
+    make["secret"] = lambda: r.choice(plain)()
+    fake = (lambda: num(r.randint(1, 8)), lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: word() + num(2), lambda: f"@{word()}", lambda: num(16) if r.random() < 0.2 else num(4) + " " + num(4), lambda: f"{num(3)}.{num(1)}%", lambda: ".".join(num(1) for _ in range(5)), lambda: f"{r.choice(('key', 'Token', 'secret', 'password'))}: {r.choice(('the', 'a', 'see', 'it', 'no', 'none', word()[:5]))}", lambda: f"{word()}: {word()}", lambda: f"{word()}-{word()}-{num(2)}", lambda: f"{word()}_{word()}{num(1)}", lambda: f"https://{word()}.org/{word()}/{num(3)}", lambda: of(letters, r.randint(16, 26)) + num(1))
     for _ in range(n):
         text, gold = "", set()
         for _ in range(r.randint(3, 7)):
@@ -227,9 +268,10 @@ def _sentences(seed: int, n: int):
                 kind = r.choice(ALL_KINDS)
                 part = make[kind]()
             lead = ""
-            if kind == "secret":
+            if kind == "secret" and r.random() < 0.6:
+                part = r.choice((*plain, *told, *told, *told))()
                 lead = f'{r.choice(("token", "key", "secret", "password"))}{r.choice((" = ", ": ", "="))}' + r.choice(('"', ""))
-            elif kind and r.random() < 0.2:
+            elif kind in KINDS and r.random() < 0.2:
                 lead = {"email": "mail ", "ip": "host ", "card": "card ", "phone": "tel "}[kind]
             text += (" " if text else "") + lead
             if kind:
@@ -239,7 +281,7 @@ def _sentences(seed: int, n: int):
 
 
 @lru_cache(maxsize=2)
-def train(seed: int = 4, sentences: int = 600, epochs: int = 3, rate: float = 0.5, l2: float = 1e-4) -> SemiCrf:
+def train(seed: int = 4, sentences: int = 700, epochs: int = 4, rate: float = 0.5, l2: float = 1e-4) -> SemiCrf:
     """Adaptive gradient ascent of the conditional likelihood."""
     model, square = SemiCrf({k: -3.0 for k in ALL_KINDS}), defaultdict(float)
     data = list(_sentences(seed, sentences))
@@ -256,7 +298,10 @@ def stretches(text: str):
     """Character ranges around digits and @, merged; whole atoms, at most _SIDE characters beyond a trigger."""
     lo = hi = -1
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - _SIDE), min(len(text), m.end() + _SIDE)
+        at = m.start()
+        if text[at] in "=:" and not _NAMED.search(text, max(0, at - 12), at):
+            continue
+        a, b = max(0, at - _SIDE), min(len(text), at + 1 + _SIDE)
         if lo >= 0 and a <= hi:
             hi = b
             continue
@@ -275,7 +320,7 @@ def model_spans(text: str, model: SemiCrf) -> list[tuple[int, int, str]]:
         while hi < len(text) and text[hi].isalnum():
             hi += 1
         atoms = [m.span() for m in _ATOM.finditer(text, lo, hi)]
-        hot = [i for i, (a, b) in enumerate(atoms) if _TRIGGER.search(text, a, b)]
+        hot = [i for i, h in enumerate(_hot(text, atoms)) if h]
         i = 0
         while i < len(hot):
             a = max(0, hot[i] - _AROUND - MAX_ATOMS)
