@@ -62,6 +62,90 @@ def test_append_remember_get_and_ask(spark, tmp_path):
     assert "### failed" in active_pack("acme/api", ["w"], [{"type": "failed", "text": "t"}])
 
 
+def test_writers_of_all_kinds_lose_nothing(spark, tmp_path, monkeypatch):
+    from worklode import ledger
+
+    monkeypatch.setattr(ledger, "FAN", 4)
+    tape = tmp_path / "tape" / "acme__api"
+    tape.mkdir(parents=True)
+    e = Engine(spark, str(tmp_path / "store"))
+    run = lambda cp: e.watch(str(tmp_path / "tape"), str(tmp_path / cp)).awaitTermination()
+    texts = lambda: {r.text for r in e.read("claims").where("status = 'active'").collect()}
+    e.remember("decision", "Use jose on the edge in src/mw/auth.ts.", "acme/api")
+    f = tape / "a.jsonl"
+    f.write_text(line("user", "Never edit src/mw/one.ts by hand."))
+    run("cp")
+    e.remember("decision", "Use pnpm in the workspace of src/two.ts.", "acme/api")
+    e.append("c", "s", "acme/api", 0, line("user", "Always lint src/mw/three.ts first."))
+    e.remember("constraint", "Keep src/four.ts small.", "acme/api")
+    with f.open("ab") as h:
+        h.write(b'{"type":"user","content":"bad \xff\xfe bytes"}\n' + line("user", "Never change src/mw/other.ts by hand.").encode())
+    run("cp")
+    want = {"Use jose on the edge in src/mw/auth.ts.", "Never edit src/mw/one.ts by hand.", "Use pnpm in the workspace of src/two.ts.", "Always lint src/mw/three.ts first.", "Keep src/four.ts small.", "Never change src/mw/other.ts by hand."}
+    assert texts() == want
+    lines = e.read("tape").count()
+    assert e.read("cursors").where(F.col("path") == str(f)).first().cursor == f.stat().st_size
+    at = next(r for r in e.read("claims").collect() if "other.ts" in r.text).transcript_ref.start_offset
+    assert f.read_bytes()[at:].startswith(b'{"type": "user", "content": "Never change')
+    run("cp2")  # another checkpoint sees the folder for the first time
+    assert texts() == want and e.read("tape").count() == lines
+    before = e.ledger.head()["number"]
+    e.ingest(spark.createDataFrame([("acme/api", "a", "other", "turn", 0, 9, line("user", "Never again src/x.ts."), str(f))], "project_key string, session_id string, harness string, source string, base bigint, end bigint, chunk string, path string"), applied=(str(tmp_path / "cp"), 0))
+    assert e.ledger.head()["number"] == before and texts() == want  # a replayed batch does nothing
+    assert len(e.ledger.head()["parts"]["claims"]) <= 4 and e.ledger.vacuum() == 0
+    e.delete("claims", e.read("claims").where("text like 'Keep%'"))
+    e.prune("acme/api")
+    assert texts() == want - {"Keep src/four.ts small."}
+
+
+def test_a_batch_writes_what_it_brings(spark, tmp_path):
+    import glob
+
+    e = Engine(spark, str(tmp_path / "store"))
+    size = lambda: sum(os.path.getsize(p) for p in glob.glob(f"{tmp_path}/store/**/*.parquet", recursive=True))
+    wrote, offset = [], 0
+    for i in range(6):
+        body = line("user", f"Never touch src/mod{i}/part.ts by hand.")
+        before = size()
+        offset = e.append("c", "s1", "acme/api", offset, body)
+        wrote.append(size() - before)
+    assert max(wrote[1:]) < 1.3 * min(wrote[1:]) and e.health()["active"] == 6
+
+
+def test_two_processes_publish_in_turn(spark, tmp_path):
+    from worklode.ledger import Ledger
+
+    a, b = Ledger(spark, str(tmp_path / "s")), Ledger(spark, str(tmp_path / "s"))
+    stale = a.head()
+    b.commit({"x": b.stage("x", spark.range(3))})
+    heads = iter([stale])
+    real = a.head
+    a.head = lambda: next(heads, None) or real()
+    checked = []
+    a.commit({"x": a.stage("x", spark.range(5))}, check=lambda: checked.append(1))
+    a.head = real
+    assert checked == [1] and a.head()["number"] == 2 and a.rows("x", "id bigint").count() == 8
+
+
+def test_thin_asks_embedders_and_compaction(spark, tmp_path):
+    from worklode.engine import is_compact
+    from worklode.functions.embed import TokenEmbedder
+
+    e = Engine(spark, str(tmp_path / "store"), TokenEmbedder([["jwt", "jose"]]))
+    e.append("c", "s1", "acme/api", 0, line("assistant", "Redis limiter failed in src/mw/auth.ts again.") + line("user", "Please look at src/mw/auth.ts once more"))
+    e.remember("decision", "Use jose on the edge runtime.", "acme/api")
+    assert e.read("vectors").count() == 2 and e.read("terms").where("term = 'redis'").count() == 1
+    q = e._more(requests(spark, {}), ["acme/api"], {})[1]["tail"].first()
+    assert q.last_user.startswith("Please look") and "auth.ts" in q.tail_paths
+    hits = e.ask(requests(spark, {"question": "jwt"})).collect()
+    assert hits[0].text.startswith("Use jose")
+    why = e.explain(requests(spark, {"question": "jwt"})).collect()
+    assert any(r["rank"] == 1 for r in why) and e.read("actions").where("kind = 'ask'").count() >= 2
+    body = e.refresh_active("acme/api")
+    assert "### failed" in body and (tmp_path / "store" / "packs" / "acme__api" / "active.md").read_text() == body
+    assert is_compact(" Compact") and not is_compact("turn")
+
+
 def test_sqlite_sources(spark, tmp_path):
     db = str(tmp_path / "o.db")
     with sqlite3.connect(db) as c:

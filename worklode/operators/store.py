@@ -39,21 +39,37 @@ MUTABLE = ("status", "supersedes", "text", "paths", "symbols", "path_mtime", "tr
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Rows by id: first write decides fixed columns, the latest one the mutable (D3). ``new`` has later ``seq``."""
-    both = stored.unionByName(new, allowMissingColumns=True)
-    seq = F.col("seq")
-    aggs = [(F.max_by(c, seq) if c in MUTABLE or c == "seq" else F.min_by(c, seq)).alias(c) for c in stored.columns if c != "id"]
-    return both.groupBy("id").agg(*aggs).select(*stored.columns)
+    return one_row_an_id(stored.unionByName(new, allowMissingColumns=True)).select(*stored.columns)
+
+
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """All writes of an id as one row."""
+    first = [c for c in rows.columns if c not in (*MUTABLE, "id", "seq")]
+    last = [c for c in rows.columns if c in MUTABLE or c == "seq"]
+    pairs = rows.groupBy("id").agg(F.min_by(F.struct(*first), "seq").alias("_f"), F.max_by(F.struct(*last), "seq").alias("_l"))
+    return pairs.select("id", "_f.*", "_l.*").select(*rows.columns)
 
 
 def supersede(claims: DataFrame) -> DataFrame:
     """One active claim for each hash: the latest arrival; it names the one before."""
-    w = Window.partitionBy("claim_hash").orderBy("seq", "id")
+    w = Window.partitionBy("claim_hash", F.col("status") == "active").orderBy("seq", "id")  # one row back and one on: nothing is gathered
     active = F.col("status") == "active"
-    last = F.last(F.when(active, F.col("id")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before = F.last(F.when(active, F.col("id")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = claims.withColumn("_last", last).withColumn("_before", before)
-    out = out.withColumn("supersedes", F.when(active & F.col("_before").isNotNull(), F.col("_before")).otherwise(F.col("supersedes")))
-    return out.withColumn("status", F.when(active & (F.col("id") != F.col("_last")), "superseded").otherwise(F.col("status"))).drop("_last", "_before")
+    out = claims.withColumn("_before", F.when(active, F.lag("id").over(w))).withColumn("_after", F.when(active, F.lead("id").over(w)))
+    out = out.withColumn("supersedes", F.coalesce("_before", "supersedes"))
+    return out.withColumn("status", F.when(F.col("_after").isNotNull(), "superseded").otherwise(F.col("status"))).drop("_before", "_after")
+
+
+def resolve_claims(rows: DataFrame) -> DataFrame:
+    """Claims as they are after all writes."""
+    return supersede(one_row_an_id(rows))
+
+
+def active_ids(rows: DataFrame) -> DataFrame:
+    """(id, project, seq, doc_len) of active claims, from narrow columns of all writes."""
+    one = one_row_an_id(rows)
+    newest = Window.partitionBy("claim_hash").orderBy(F.desc("seq"), F.desc("id"))
+    live = one.where("status = 'active'").withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    return live.select("id", "project_key", "seq", "doc_len")
 
 
 def write_claims(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -164,9 +180,12 @@ def to_markdown(claims: DataFrame) -> DataFrame:
 # -- actions ----------------------------------------------------------------------
 def append_actions(stored: DataFrame, new: DataFrame, n: int = S.ACTION_CAP) -> DataFrame:
     """Append and keep the last ``n`` of each (project, session)."""
+    return top(stored.unionByName(clean_actions(new)), ["project_key", "session_id"], [F.desc("at"), F.desc("seq")], n)
+
+
+def clean_actions(new: DataFrame) -> DataFrame:
     new = new.withColumn("project_key", P.project_key("project_key")).withColumn("session_id", F.coalesce(F.nullif("session_id", F.lit("")), F.lit("default")))
-    new = new.where("project_key <> '' and kind <> '' and at <> ''")
-    return top(stored.unionByName(new), ["project_key", "session_id"], [F.desc("at"), F.desc("seq")], n)
+    return new.where("project_key <> '' and kind <> '' and at <> ''")
 
 
 def recent_actions(actions: DataFrame, n: int, by_session: bool = True) -> DataFrame:

@@ -79,8 +79,14 @@ def normalise(requests: DataFrame) -> DataFrame:
     return q.withColumn("limit_tokens", limit).withColumn("session_id", F.when(session == "", "default").otherwise(session))
 
 
-def tails(messages: DataFrame) -> DataFrame:
-    """(project, last_user, tail_paths, failed_tokens) of each project's newest tape."""
+def tails(messages: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """(project, last_user, tail_paths, failed_tokens) of each project's newest tape.
+
+    Offsets of different tapes cannot be compared: ``messages`` holds one tape a
+    project, or ``newest`` says which (project_key, session_id).
+    """
+    if newest is not None:
+        messages = messages.join(newest.select("project_key", "session_id"), ["project_key", "session_id"], "left_semi")
     usable = messages.where("not skip").where(X.trim("text") != "")
     w = Window.partitionBy("project_key").orderBy(F.desc("offset"))
     size = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))

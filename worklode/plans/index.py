@@ -12,12 +12,14 @@ from worklode.functions import text as X
 from worklode.plans.cut import cut
 
 
-def bodies(claims: DataFrame) -> DataFrame:
-    """(record_id, project_key, body): text, symbols, path keys and their stems of active claims."""
+def bodies(claims: DataFrame, status: str | None = "active") -> DataFrame:
+    """(record_id, project_key, body): text, symbols, path keys and their stems of active claims, or of all."""
     keys = P.path_keys("paths")
     stems = F.flatten(F.transform(keys, lambda k: F.array(k, F.when((X.stem(k) != "") & (X.stem(k) != k), X.stem(k)))))
     body = F.concat_ws(" ", F.col("text"), F.array_join("symbols", " "), F.array_join(F.filter(stems, lambda s: s.isNotNull()), " "))
-    return claims.where("status = 'active'").select(F.col("id").alias("record_id"), "project_key", body.alias("body"))
+    if status is not None:
+        claims = claims.where(F.col("status") == status)
+    return claims.select(F.col("id").alias("record_id"), "project_key", body.alias("body"))
 
 
 def terms(docs: DataFrame) -> DataFrame:
@@ -56,6 +58,13 @@ class Index:
         return Index(claims, cut(terms(docs)), cut(path_postings(claims)), cut(symbol_postings(claims)), int(lengths[0]), float(lengths[1] or 1.0))
 
 
+    @staticmethod
+    def of(claims: DataFrame, terms: DataFrame, n: int, mean_len: float) -> Index:
+        """From stored terms of all projects; the claims may be those of a few."""
+        claims = cut(claims.where("status = 'active'"))
+        return Index(claims, terms, cut(path_postings(claims)), cut(symbol_postings(claims)), n, mean_len)
+
+
 def bm25(tf, df, doc_len, n, mean_len):
     """The score of one term, the larger the better; k1 1.2, b 0.75, idf not below 1e-6."""
     idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)), F.lit(1e-6))

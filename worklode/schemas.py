@@ -10,6 +10,7 @@ MESSAGES = "project_key string, session_id string, harness string, source string
 EXCERPTS = "id string, session_id string, project_key string, start_offset bigint, end_offset bigint, text string, month string"
 ACTIONS = "seq bigint, project_key string, session_id string, kind string, claim_id string, paths array<string>, tokens array<string>, at string"
 SESSIONS = "jsonl string, session_id string, harness string, workspace string, project_key string, seq bigint"
+TERMS = "record_id string, project_key string, term string, tf int, doc_len int, seq bigint"
 VECTORS = "record_id string, project_key string, model string, dim int, vec array<float>"
 REQUESTS = "request_id string, question string, goal string, project string, workspace_root string, paths array<string>, session_id string, limit_tokens int, now timestamp"
 HITS = (
@@ -33,6 +34,7 @@ DEFAULT_LIMIT = 1200
 HALF_LIFE_DAYS = {"failed": 14, "decision": 180, "state": 7, "thread": 7}
 DIVERSITY, CONFLICT, INVALIDATE, VECTOR_GATE = 0.8, 0.35, 0.2, 0.55
 RICH_TOKENS = 2
+TAPE_TAIL_BYTES = 64000
 TAIL_MESSAGES, TAIL_BYTES, QUESTION_BYTES, COMPILE_PATHS, RECENT_CLAIMS = 40, 32000, 500, 8, 8
 W_FAILED, W_SHIPPED, W_FAILED_WEAK, W_SHIPPED_WEAK = 4.0, 2.5, 0.25, 0.24
 W_AGREE, W_SERVED, W_DWELL, W_OFF_PATH, W_STALE, W_COVERAGE = 0.4, 0.9, 0.8, 0.5, 0.7, 0.8

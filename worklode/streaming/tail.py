@@ -9,16 +9,21 @@ are left out.
 
 from __future__ import annotations
 
+import codecs
 import os
+import stat
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from worklode.sources.files import MAX_BYTES
 
-SCHEMA = "path string, base bigint, chunk string"
+SCHEMA = "path string, base bigint, end bigint, chunk string"
 _BLOCK = 1 << 16
 
 
+codecs.register_error("worklode-bytes", lambda e: ("?" * (e.end - e.start), e.end))  # offsets stay those of the file
+
+
 def _open(path: str) -> int:
     return os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
 
@@ -48,6 +53,7 @@ class Range(InputPartition):
 class TailReader(DataSourceStreamReader):
     def __init__(self, root: str):
         self.root = root
+        self.known: dict[str, tuple[int, int, int]] = {}
 
     def initialOffset(self):
         return {}
@@ -58,9 +64,11 @@ class TailReader(DataSourceStreamReader):
             for name in names:
                 path = os.path.join(folder, name)
                 if name.endswith(".jsonl") and os.path.isfile(path) and not os.path.islink(path):
-                    size = os.path.getsize(path)
-                    if size <= MAX_BYTES:
-                        out[path] = complete_end(path, size)
+                    s = os.stat(path)
+                    if s.st_size <= MAX_BYTES:
+                        if self.known.get(path, ())[:2] != (s.st_size, s.st_mtime_ns):  # only grown files are looked into
+                            self.known[path] = (s.st_size, s.st_mtime_ns, complete_end(path, s.st_size))
+                        out[path] = self.known[path][2]
         return out
 
     def partitions(self, start, end):
@@ -75,10 +83,12 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition):
         fd = _open(partition.path)
         try:
+            if not stat.S_ISREG(os.fstat(fd).st_mode):  # the file may have been exchanged since it was listed (S4)
+                return
             data = os.pread(fd, partition.end - partition.start, partition.start)
         finally:
             os.close(fd)
-        yield partition.path, partition.start, data.decode("utf-8", "replace")
+        yield partition.path, partition.start, partition.end, data.decode("utf-8", "worklode-bytes")
 
 
 class TailSource(DataSource):
