@@ -40,14 +40,22 @@ def with_nearby(messages: DataFrame) -> DataFrame:
     return out.withColumn("near", near).drop("_own", "_three")
 
 
-def judged_sentences(messages: DataFrame) -> DataFrame:
-    """Every sentence of usable, non-tool messages with its type and, if it is no claim, the reason."""
+def judged_sentences(messages: DataFrame, typed: bool = False) -> DataFrame:
+    """Every sentence of usable, non-tool messages with its type and, if it is no claim, the reason.
+
+    ``typed`` leaves out those that can be no claim for their length or want of a
+    type, before the costly rules.
+    """
     usable = messages.where("not skip")
     m = with_nearby(usable.withColumn("tail", in_tail(usable))).where("role <> 'tool'")
     s = m.select("*", F.posexplode(C.split_sentences("text")).alias("sentence_no", "sentence"))
-    s = s.withColumn("paths", P.filter_paths(X.uniq(F.concat(P.find_paths("sentence"), F.col("near")))))
-    s = s.withColumn("type", C.classify("sentence", "error", "role"))
     size = F.octet_length("sentence")
+    if typed:
+        s = s.where(size.between(12, 600))
+    s = s.withColumn("type", C.classify("sentence", "error", "role"))
+    if typed:
+        s = s.where("type is not null")
+    s = s.withColumn("paths", P.filter_paths(X.uniq(F.concat(P.find_paths("sentence"), F.col("near")))))
     failed = F.col("type") == "failed"
     reason = (
         F.when(gates.skip_prose("sentence"), "skip-prose")
@@ -87,7 +95,7 @@ def cap(rows: list[dict]) -> list[dict]:
 
 def extract(messages: DataFrame, now: Column | None = None) -> DataFrame:
     """Claims of each (project, session) batch of messages, with ``created_at`` of ``now``."""
-    drafts = judged_sentences(messages).where("reason is null").withColumn("claim_hash", claim_hash("project_key", "type", "sentence"))
+    drafts = judged_sentences(messages, typed=True).where("reason is null").withColumn("claim_hash", claim_hash("project_key", "type", "sentence"))
     first = Window.partitionBy(*_SESSION, "claim_hash").orderBy("offset", "sentence_no")
     drafts = drafts.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     drafts = drafts.select(*_SESSION, "harness", "source", "type", F.col("sentence").alias("text"), F.slice("paths", 1, 8).alias("paths"), "claim_hash", "offset", "sentence_no", F.octet_length("text").alias("size"))

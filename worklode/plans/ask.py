@@ -158,24 +158,43 @@ def posting_hits(keys: DataFrame, postings: DataFrame, per: int = S.PER_KEY_CAP,
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy("_at"))).where(F.col("pos") <= total).drop("_at")
 
 
-def _keys(q: DataFrame, column: str) -> DataFrame:
-    return q.select("request_id", "project_key", F.posexplode(column).alias("key_pos", "key"))
+TYPED = ("failed", "decision", "constraint")
+#: Kinds of keys.
+_PATH, _SYMBOL = 0, 1
 
 
-def typed_overlap(paths: DataFrame, symbols: DataFrame | None, ix: Index, kind: str, limit: int) -> DataFrame:
-    """Path postings, then symbol postings of a type, ``limit`` together."""
-    of = lambda p: p.where(F.col("type") == kind).drop("type")
-    both = posting_hits(paths, of(ix.paths), 40, limit)
-    if symbols is not None:
-        both = both.unionByName(posting_hits(symbols, of(ix.symbols), 40, limit).withColumn("pos", F.col("pos") + 1000))
-    return store.top(both.groupBy("request_id", "id").agg(F.min("pos").alias("pos")), ["request_id"], ["pos"], limit)
+def _keys(q: DataFrame, column: str, kind: int) -> DataFrame:
+    return q.select("request_id", "project_key", F.lit(kind).alias("kind"), F.posexplode(column).alias("key_pos", "key"))
+
+
+def key_hits(keys: DataFrame, ix: Index, kinds=(_PATH, _SYMBOL)) -> DataFrame:
+    """(request_id, kind, key_pos, id, type) of the records with a key: paths and symbols in one join."""
+    both = [p.withColumn("kind", F.lit(k)) for k, p in ((_PATH, ix.paths), (_SYMBOL, ix.symbols)) if k in kinds]
+    postings = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    return keys.join(postings, ["project_key", "kind", "key"]).select("request_id", "kind", "key_pos", F.col("record_id").alias("id"), "type")
+
+
+def first_hits(hits: DataFrame, by: list[str], per: int, total: int) -> DataFrame:
+    """(request_id, kind, *by, id, pos): ``per`` records of each key in id order, first seen, ``total`` altogether."""
+    few = store.top(hits, ["request_id", "kind", *by, "key_pos"], ["id"], per)
+    first = few.groupBy("request_id", "kind", *by, "id").agg(F.min(F.struct("key_pos", "id")).alias("_at"))
+    w = Window.partitionBy("request_id", "kind", *by).orderBy("_at")
+    return first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= total).drop("_at")
+
+
+def typed_hits(hits: DataFrame, limit: int, src: int) -> DataFrame:
+    """(request_id, id, src, pos): path hits, then symbol hits of each lasting type, ``limit`` together."""
+    found = first_hits(hits.where(F.col("type").isin(*TYPED)), ["type"], S.PER_KEY_CAP, limit)
+    both = found.groupBy("request_id", "type", "id").agg(F.min(F.col("pos") + 1000 * F.col("kind")).alias("pos"))
+    order = F.array_position(F.array(*map(F.lit, TYPED)), F.col("type")).cast("int")
+    return store.top(both, ["request_id", "type"], ["pos"], limit).select("request_id", "id", (order - 1 + src).alias("src"), F.col("pos").cast("int").alias("pos"))
 
 
 def unite(parts: list[tuple[int, DataFrame]], limit: int = S.CANDIDATE_CAP) -> DataFrame:
-    """Ordered union of generators: first seen stays, at most ``limit``."""
+    """Ordered union of (rank, generator): first seen stays, at most ``limit`` (U2, K9). Rank None: the rows' own ``src``."""
     rows = None
     for rank, p in parts:
-        p = p.select("request_id", "id", F.lit(rank).alias("src"), F.col("pos").cast("int").alias("pos"))
+        p = p.select("request_id", "id", F.col("src") if rank is None else F.lit(rank).alias("src"), F.col("pos").cast("int").alias("pos"))
         rows = p if rows is None else rows.unionByName(p)
     first = rows.groupBy("request_id", "id").agg(F.min(F.struct("src", "pos")).alias("_at"))
     w = Window.partitionBy("request_id").orderBy("_at", "id")
@@ -205,9 +224,9 @@ def candidates(q: DataFrame, ix: Index, vectors: DataFrame | None = None):
     fts = search(terms, ix.terms, ix.n, ix.mean_len).join(names, ["request_id", "project_key"])
     w = Window.partitionBy("request_id").orderBy(F.desc("bm25"), "record_id")
     fts = fts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= S.FTS_CAP).select("request_id", F.col("record_id").alias("id"), "bm25", "pos")
-    paths, symbols = _keys(rest, "path_keys"), _keys(rest, "symbols")
-    parts = [(0, priority), (1, cold), (2, fts), (3, posting_hits(paths, ix.paths.drop("type"))), (4, posting_hits(symbols, ix.symbols.drop("type")))]
-    parts += [(5 + i, typed_overlap(paths, symbols, ix, t, S.TYPE_CAP)) for i, t in enumerate(("failed", "decision", "constraint"))]
+    hits = key_hits(_keys(rest, "path_keys", _PATH).unionByName(_keys(rest, "symbols", _SYMBOL)), ix)
+    plain = first_hits(hits, [], S.PER_KEY_CAP, S.POSTING_CAP).withColumn("src", F.col("kind") + 3)
+    parts = [(0, priority), (1, cold), (2, fts), (None, plain), (None, typed_hits(hits, S.TYPE_CAP, 5))]
     knn = vector_hits(rest, vectors, ix.claims) if vectors is not None else None
     if knn is not None:
         parts.append((8, knn))
@@ -219,12 +238,12 @@ def candidates(q: DataFrame, ix: Index, vectors: DataFrame | None = None):
     keys = seen.select("request_id", "project_key", "n", F.posexplode(P.path_keys("paths")).alias("p", "key"))
     keys = keys.groupBy("request_id", "project_key", "key").agg(F.min(F.struct("n", "p")).alias("_at"))
     keys = cut(keys.withColumn("key_pos", F.row_number().over(Window.partitionBy("request_id").orderBy("_at"))).where(F.col("key_pos") <= S.INFER_PATHS).drop("_at"))
-    hops = [(9 + i, typed_overlap(keys, None, ix, t, S.INFER_TYPE_CAP)) for i, t in enumerate(("failed", "decision", "constraint"))]
+    hops = typed_hits(key_hits(keys.withColumn("kind", F.lit(_PATH)), ix, (_PATH,)), S.INFER_TYPE_CAP, 9)
     hop = keys.groupBy("request_id").agg(F.collect_list("key").alias("hop_paths"))
     recent = store.by_type(ix.claims, "failed", S.RECENT_FAILED_CAP)
     recent = recent.withColumn("pos", F.row_number().over(Window.partitionBy("project_key").orderBy(F.desc("created_at"), F.desc("seq"))))
     empty = rest.join(found, "request_id", "left_anti").select("request_id", "project_key").join(recent.select("project_key", "id", "pos"), "project_key")
-    all_ = unite([(0, found.withColumnRenamed("n", "pos")), *hops, (20, empty)])
+    all_ = unite([(0, found.withColumnRenamed("n", "pos")), (None, hops), (20, empty)])
     return all_, fts.select("request_id", "id", "bm25"), (knn.select("request_id", "id", "cosine") if knn is not None else None), hop
 
 

@@ -29,6 +29,15 @@ def terms(docs: DataFrame) -> DataFrame:
     return one.groupBy("record_id", "project_key", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def wanted_terms(docs: DataFrame, wanted: list[str]) -> tuple[DataFrame, int, float]:
+    """(terms, number of documents, mean length) of a few terms over unindexed documents, in one scan: others are never exploded."""
+    listed = docs.select("record_id", "project_key", X.index_terms("body").alias("_t"))
+    few = cut(listed.select("record_id", "project_key", F.size("_t").alias("doc_len"), F.filter("_t", lambda t: t.isin(wanted)).alias("_t")))
+    n, mean = few.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    one = few.select("record_id", "project_key", "doc_len", F.explode("_t").alias("term"))
+    return one.groupBy("record_id", "project_key", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len")), int(n), float(mean or 1.0)
+
+
 def path_postings(claims: DataFrame) -> DataFrame:
     return claims.where("status = 'active'").select("project_key", F.explode(P.path_keys("paths")).alias("key"), F.col("id").alias("record_id"), "type").distinct()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from worklode import gate_sql as G
 from worklode import schemas as S
 from worklode.functions import gates, hashes, rules
 from worklode.functions import paths as P
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {_CLAIMS}, {_ACTIONS}, {_MESSAGES} {sql}"
+            SQL[f.__name__] = f"WITH RECURSIVE {_CLAIMS}, {_ACTIONS}, {_MESSAGES} {sql}"
         return f
 
     return keep
@@ -105,12 +106,12 @@ def stems_paths(spark, d):
     return c.select("id", F.array_join(P.path_keys("paths"), ",").alias("keys"), X.stem(F.get("paths", F.lit(0))).alias("stems"), F.array_join(P.cluster("paths"), ",").alias("clusters"), P.primary_dir("paths").alias("dir"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN strlen(text) <= 2000 THEN text ELSE 'long' END) AS clipped, CAST(greatest(1, floor((strlen(text) + 3) / 4)) AS INTEGER) AS estimate FROM documents")
+@query(f"SELECT doc_id, sha256({G.clip('text')}) AS clipped, CAST(greatest(1, floor((strlen(text) + 3) / 4)) AS INTEGER) AS estimate FROM documents")
 def clip_and_estimate(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.sha2(X.clip("text"), 256).alias("clipped"), X.estimate_tokens("text").alias("estimate"))
 
 
-@query("SELECT id, CAST(CASE type WHEN 'constraint' THEN 1.0 ELSE round(pow(0.5, (epoch(TIMESTAMP '2026-01-01') - epoch(TIMESTAMP '2025-01-01') - doc_id * 3600) / 86400.0 / CASE type WHEN 'decision' THEN 180 WHEN 'failed' THEN 14 ELSE 7 END), 9) END AS DOUBLE) AS recency FROM claims_v WHERE doc_id < 8760")
+@query("SELECT id, CAST(CASE type WHEN 'constraint' THEN 1.0 ELSE round(pow(0.5, greatest(0, epoch(TIMESTAMP '2026-01-01') - epoch(TIMESTAMP '2025-01-01') - doc_id * 3600) / 86400.0 / CASE type WHEN 'decision' THEN 180 WHEN 'failed' THEN 14 ELSE 7 END), 9) END AS DOUBLE) AS recency FROM claims_v")
 def recency_score(spark, d):
     c = claims_view(spark, d)
     return c.select("id", F.round(A.type_recency("type", hashes.age_days("created_at", F.to_timestamp(F.lit("2026-01-01T00:00:00Z")))), 9).alias("recency"))
@@ -160,7 +161,10 @@ def gate_phrases(spark, d):
     return rows.select("id", gates.planning("text").alias("planning"), gates.session_op("text").alias("session_op"), gates.narrative_decision("text").alias("narrative"), gates.status_failed("text").alias("status_failed"), gates.failed_as_object("text").alias("failed_object"), gates.skill_talk("text").alias("skill_talk"), gates.product_copy("text").alias("product_copy"))
 
 
-@query()
+_SAID = f"said AS (SELECT session_id AS id, role, unnest({G.sentence_list('text')}) AS text FROM messages_v UNION ALL SELECT id, 'user', text FROM (VALUES {_VALUES}) t(id, text))"
+
+
+@query(f", {_SAID}, {G.gate_ctes('said')} SELECT said.id, said.text, {', '.join('gated.' + n for n in gates.ALL)} FROM said JOIN gated ON gated.text = said.text")
 def gates_all(spark, d):
     """Every gate on the sentences of conversations and the sample lines."""
     said = messages_view(spark, d).select("session_id", F.explode(C.split_sentences("text")).alias("text"))
@@ -179,14 +183,14 @@ def classify_patterns(spark, d):
     return rows.select("id", *[F.col("low").rlike(p).alias(n) for n, p in named.items()])
 
 
-@query()
+@query(f", {_SAID}, {G.gate_ctes('said')} SELECT id, said.text AS text, {G.classified()} AS type FROM said JOIN gated ON gated.text = said.text")
 def classify(spark, d):
     said = messages_view(spark, d).select(F.col("session_id").alias("id"), "role", F.explode(C.split_sentences("text")).alias("text"))
     rows = _samples(spark).select("id", F.lit("user").alias("role"), "text").union(said)
     return rows.select("id", "text", C.classify("text", F.lit(False), "role").alias("type"))
 
 
-@query()
+@query(f", s AS (SELECT doc_id, {G.sentence_list('text')} AS l FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, l[i] AS sentence FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)")
 def sentences(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.posexplode(C.split_sentences("text")).alias("sentence_no", "sentence"))
 
@@ -201,9 +205,8 @@ _BM25 = """, body AS (SELECT doc_id, list_transform(regexp_extract_all(strip_acc
 
 def _bm25(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.lit("p").alias("project_key"), F.col("text").alias("body"))
-    stat = docs.select(F.size(X.index_terms("body")).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
     wanted = spark.createDataFrame([("q", t) for t in _TERMS], "request_id string, term string")
-    return I.search(wanted, I.terms(docs), int(stat[0]), float(stat[1] or 1.0))
+    return I.search(wanted, *I.wanted_terms(docs, list(_TERMS)))
 
 
 @query(_BM25 + " SELECT doc_id, round(s, 9) AS score FROM score ORDER BY round(s, 9) DESC, doc_id LIMIT 80")
@@ -432,12 +435,24 @@ def preceding_user(spark, d):
     return extract.with_nearby(m).select("session_id", "offset", F.array_join("near", ",").alias("near"))
 
 
-@query()
+_WINDOWS = f"""piece AS (SELECT session_id, "offset" AS a, greatest("offset" + size, "offset" + 1) AS b, CASE WHEN role = '' THEN 'other' ELSE role END || ': ' || {G.clip('text')} || chr(10) AS p FROM messages_v WHERE {G.trim(G.clip('text'))} <> ''),
+  seq AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n, strlen(p) AS k, coalesce(sum(strlen(p)) OVER (PARTITION BY session_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM piece WINDOW w AS (PARTITION BY session_id ORDER BY a)),
+  till AS (SELECT x.session_id, x.i, x.n, min(y.i + 1) AS j FROM seq x JOIN seq y ON x.session_id = y.session_id AND y.i >= x.i LEFT JOIN seq z ON z.session_id = y.session_id AND z.i = y.i + 1
+    WHERE y.c + y.k - x.c >= {S.EXCERPT_TARGET} OR (y.c + y.k - x.c >= {S.EXCERPT_MIN} AND y.c + y.k - x.c + z.k > {S.EXCERPT_TARGET}) OR z.i IS NULL GROUP BY 1, 2, 3),
+  chain(session_id, i, j, n) AS (SELECT session_id, i, j, n FROM till WHERE i = 0 UNION ALL SELECT t.session_id, t.i, t.j, t.n FROM chain c JOIN till t ON t.session_id = c.session_id AND t.i = CASE WHEN c.j - c.i > 1 THEN c.j - 1 ELSE c.j END WHERE c.j < c.n),
+  win AS (SELECT c.session_id, c.i, min(s.a) AS start_offset, max_by(s.b, s.i) AS end_offset, string_agg(s.p, '' ORDER BY s.i) AS text FROM chain c JOIN seq s ON s.session_id = c.session_id AND s.i >= c.i AND s.i < c.j GROUP BY 1, 2),
+  windows AS (SELECT sha256(session_id || chr(0) || CAST(start_offset AS BIGINT) || chr(0) || CAST(end_offset AS BIGINT)) AS id, session_id, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset, text FROM win)"""
+
+
+@query(f", {_WINDOWS} SELECT id, session_id, start_offset, end_offset, sha256(text) AS text_sha FROM windows")
 def excerpts(spark, d):
     return extract.excerpts(messages_view(spark, d), F.lit("2026-01")).select("id", "session_id", "start_offset", "end_offset", F.sha2("text", 256).alias("text_sha"))
 
 
-@query()
+@query(
+    f", {_WINDOWS}, r AS (SELECT m.session_id || ':' || m.\"offset\" AS id, w.id AS excerpt_id, '2026-01' AS month, row_number() OVER (PARTITION BY m.session_id, m.\"offset\" ORDER BY w.end_offset - w.start_offset, w.id) AS k "
+    "FROM messages_v m JOIN windows w ON w.session_id = m.session_id AND w.start_offset <= m.\"offset\" AND w.end_offset >= m.\"offset\" + m.size) SELECT id, excerpt_id, month FROM r WHERE k = 1"
+)
 def covering_excerpt(spark, d):
     m = messages_view(spark, d)
     ref = F.struct(F.col("session_id"), F.col("offset").alias("start_offset"), (F.col("offset") + F.octet_length("text")).alias("end_offset"))
@@ -454,17 +469,32 @@ def extract_claims(spark, d):
     return c.select("session_id", "type", "text", "claim_hash", F.array_join("paths", ",").alias("paths"))
 
 
+def _gateway_claims(spark, d) -> DataFrame:
+    base = claims_view(spark, d)
+    text = F.concat(F.initcap("type"), F.lit(" case in the Gateway limiter of "), F.get("paths", F.lit(0)), F.lit(" number "), F.col("id"), F.lit(" decided, failed, never."))
+    return base.withColumn("text", text).withColumn("claim_hash", hashes.claim_hash("project_key", "type", "text"))
+
+
 @query()
 def ask(spark, d):
     """Three asks over the derived claims."""
-    base = claims_view(spark, d)
-    text = F.concat(F.initcap("type"), F.lit(" case in the Gateway limiter of "), F.get("paths", F.lit(0)), F.lit(" number "), F.col("id"), F.lit(" decided, failed, never."))
-    ix = I.Index.build(base.withColumn("text", text).withColumn("claim_hash", hashes.claim_hash("project_key", "type", "text")))
+    ix = I.Index.build(_gateway_claims(spark, d))
     rows = [("r1", "gateway limiter", None, "src0", None, ["src/en/f3.ts"], None, None), ("r2", "gateway limiter failed", None, "src1", None, [], None, None), ("r3", None, None, "src2", None, [], None, None)]
     req = spark.createDataFrame(rows, S.REQUESTS.rsplit(", ", 1)[0]).withColumn("now", F.to_timestamp(F.lit("2026-01-01T00:00:00Z")))
     return A.ask(req, ix).select("request_id", "rank", "id", "type", F.round("score", 9).alias("score"), "warning")
 
 
+@query()
+def ask_batch(spark, d):
+    """An ask for each project and language of the derived claims, in one batch."""
+    c = _gateway_claims(spark, d)
+    who = c.groupBy("project_key", "session_id").agg(F.min(F.get("paths", F.lit(0))).alias("path"))
+    null = {k: F.lit(None).cast("string") for k in ("goal", "workspace_root", "session_id")}
+    req = who.select(F.concat_ws(":", "project_key", "path").alias("request_id"), F.lit("gateway limiter").alias("question"), F.col("project_key").alias("project"), F.array("path").alias("paths"))
+    req = req.withColumns({**null, "limit_tokens": F.lit(None).cast("int"), "now": F.to_timestamp(F.lit("2026-01-01T00:00:00Z"))})
+    return A.ask(req, I.Index.build(c)).select("request_id", "rank", "id", "type", F.round("score", 9).alias("score"), "warning")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
