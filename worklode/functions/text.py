@@ -132,8 +132,14 @@ def clip_display(x, n: int = 120) -> Column:
 
 def byte_size(x) -> Column:
     """Human size."""
-    n = col(x)
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+    n = col(x).cast("long")
+
+    def shown(unit: int, name: str) -> Column:
+        tenths, rest = F.floor(n * 10 / unit).cast("long"), (n * 10) % unit
+        tenths = tenths + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (tenths % 2 == 1)), 1).otherwise(0)  # a tie goes to the even digit
+        return F.format_string(f"%d.%d {name}", F.floor(tenths / 10).cast("long"), tenths % 10)
+
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, shown(1024, "KB")).otherwise(shown(1024 * 1024, "MB"))
 
 
 def sanitise(x) -> Column:

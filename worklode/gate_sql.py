@@ -146,3 +146,62 @@ def classified(error: str = "false", role: str = "role") -> str:
     )
 
 
+
+
+def slashes(x: str) -> str:
+    return f"replace({x}, '\\', '/')"
+
+
+def base_name(x: str) -> str:
+    return f"string_split({slashes(x)}, '/')[-1]"
+
+
+def stem(x: str) -> str:
+    return f"regexp_replace({base_name(x)}, '(?s)\\A(.+)\\.[^.]*\\z', '\\1')"
+
+
+def normal_path(x: str) -> str:
+    p = f"regexp_replace(regexp_replace({slashes(trim(x))}, '\\A(?:\\./)+', ''), '/\\z', '')"
+    return f"CASE WHEN {p} IN ('.', '..') THEN '' ELSE {p} END"
+
+
+def path_tests(x: str) -> dict[str, str]:
+    n = slashes(trim(x))
+    low, parts = f"lower({n})", f"string_split({n}, '/')"
+    host = f"string_split({low}, '/')[1]"
+    listed = lambda words: ", ".join(map(quote, words))
+    return {
+        "traversal": f"({n} = '' OR contains({n}, chr(0)) OR {has(low, '%2e|%2f|%00')} OR {has(n, r'\A[/~]')} OR {has(n, r'\A[\x00-\x7f]:')} OR {host} IN ({listed(rules.ABSOLUTE_ROOTS)}) OR list_contains({parts}, '..'))",
+        "remote": f"(contains({low}, '://') OR ends_with({low}, '.git') OR ({host} <> '' AND NOT starts_with({host}, '.') AND contains({host}, '.')))",
+        "git_dir": f"list_contains({parts}, '.git')",
+        "dependency": f"list_has_any({parts}, [{listed(rules.DEPENDENCY_DIRS)}])",
+        "sensitive": has(x, rules.SENSITIVE_PATH),
+    }
+
+
+def source_path(p: str) -> str:
+    """Is a normalised path one of the project's own sources?"""
+    return f"({p} <> '' AND NOT ({' OR '.join(path_tests(p).values())}))"
+
+
+def origin(x: str) -> str:
+    raw = f"regexp_replace({trim(x)}, '\\Agit\\+', '')"
+    part = lambda i: f"lower(regexp_extract({raw}, {re2(rules.ORIGIN)}, {i}))"
+    return f"CASE WHEN {has(raw, rules.ORIGIN)} THEN {part(1)} || '/' || regexp_replace({part(2)}, '\\.git\\z', '') ELSE '' END"
+
+
+def project_key(x: str) -> str:
+    s = f"regexp_replace(lower({trim(x)}), '\\.git\\z', '')"
+    parts = f"list_filter(string_split({s}, '/'), lambda q: q <> '')"
+    plain = f"CASE WHEN contains({s}, '__') THEN regexp_replace({s}, '(?s)\\A(.*?)__', '\\1/') ELSE {s} END"
+    return f"CASE WHEN contains({s}, '/') THEN CASE WHEN {origin(s)} <> '' THEN {origin(s)} WHEN len({parts}) >= 2 THEN {parts}[-2] || '/' || {parts}[-1] ELSE {plain} END ELSE {plain} END"
+
+
+def grounded(paths: str) -> str:
+    """Does a sentence in a row of ``gated`` (text, t) say what failed, with a list of its own paths?"""
+    words = f"list_transform(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> ''), lambda w: regexp_replace(w, '\\A[.,;:()\\[\\]\"'']+|[.,;:()\\[\\]\"'']+\\z', '', 'g'))"
+    listed = lambda words_: ", ".join(map(quote, words_))
+    name = "(regexp_matches(w, '\\A[A-Z]') AND ((strlen(w) >= 3 AND regexp_matches(w, '[a-z]')) OR contains(w, '-')))"
+    one = f"CASE WHEN w = '' THEN false WHEN lower(w) IN ({listed(rules.FAIL_WORDS)}) THEN lower(coalesce(ws[i + 1], '')) IN ('to', 'during', 'again', 'on') WHEN i = 1 AND w IN ({listed(rules.SENTENCE_STARTERS)}) THEN false ELSE {name} END"
+    named = f"coalesce((SELECT bool_or({one}) FROM (SELECT ws, i, ws[i] AS w FROM (SELECT {words} AS ws), unnest(range(1, len(ws) + 1)) AS r(i))), false)"
+    return f"(len({paths}) > 0 OR len(list_filter(list_transform({paths}, lambda p: {normal_path('p')}), lambda p: {source_path('p')})) > 0 OR (NOT status_failed AND NOT failed_as_object AND (regexp_matches(text, '`|\\*\\*') OR {named})))"

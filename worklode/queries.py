@@ -18,6 +18,7 @@ from worklode.functions import text as X
 from worklode.operators import extract, store
 from worklode.plans import ask as A
 from worklode.plans import index as I
+from worklode.sources.transcripts import parse_sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,6 +196,175 @@ def sentences(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.posexplode(C.split_sentences("text")).alias("sentence_no", "sentence"))
 
 
+_ODD_PATHS = ("a/b.go", "./src/x.ts", "../up.ts", "/etc/passwd", "~/x", "C:/x.ts", "home/u/x.go", "a%2e%2e/b", "node_modules/a.js", ".git/config", "example.com/a.js", ".env", "k/.env.local", "id_rsa", "a/..", " b/c.py ", "a\\\\b.ts", "repo.git", "", ".", "x/", "dist/app.js", "deep/er/file.test.ts")
+_PATH_ROWS = f"(SELECT url AS x FROM pages UNION ALL SELECT regexp_replace(url, '^[^/]*//', '') FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f'({G.quote(x)})' for x in _ODD_PATHS)}))"
+
+
+def _paths(spark, d) -> DataFrame:
+    urls = _table(spark, d, "pages").select(F.col("url").alias("x"))
+    return urls.union(urls.select(F.regexp_replace("x", "^[^/]*//", ""))).union(spark.createDataFrame([(x,) for x in _ODD_PATHS], "x string"))
+
+
+@query(f"SELECT x, {', '.join(f'{q} AS {n}' for n, q in G.path_tests('x').items())}, n AS normal, CASE WHEN {G.source_path('n')} THEN n ELSE '' END AS source, {G.base_name('x')} AS base, {G.stem('x')} AS stem FROM (SELECT x, {G.normal_path('x')} AS n FROM {_PATH_ROWS})")
+def path_rules(spark, d):
+    """Tests and normal forms of paths, over URLs and odd literal ones."""
+    own = P.filter_paths(F.array("x"))
+    return _paths(spark, d).select("x", P.is_traversal("x").alias("traversal"), P.is_remote("x").alias("remote"), P.in_git_dir("x").alias("git_dir"), P.in_dependency_dir("x").alias("dependency"), P.is_sensitive("x").alias("sensitive"), P.normal_path("x").alias("normal"), F.array_join(own, ",").alias("source"), X.base_name("x").alias("base"), X.stem("x").alias("stem"))
+
+
+_ORIGINS = ("git@github.com:Acme/API.git", "https://github.com/acme/api", "Acme/API", "acme__api", "plain", "git+ssh://git@host/o/r.git", "a/b/c", "", " x ", "owner__my__repo", "path-0123456789abcdef")
+_ORIGIN_ROWS = f"(SELECT url AS x FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f'({G.quote(x)})' for x in _ORIGINS)}))"
+
+
+@query(
+    f", k AS (SELECT x, {G.project_key('x')} AS key, {G.origin('x')} AS origin, regexp_replace(replace({G.project_key('x')}, '/', '__'), '\\A[. ]+|[. ]+\\z', '', 'g') AS e, {G.project_key(chr(40) + f'regexp_replace({G.trim(chr(120))}, ' + chr(39) + '(?s)' + chr(92) + 'A(.*?)__' + chr(39) + ', ' + chr(39) + chr(92) + '1/' + chr(39) + ')' + chr(41))} AS d FROM {_ORIGIN_ROWS}) "
+    f"SELECT x, key, origin, CASE WHEN e = '' OR contains(e, '..') THEN 'unknown' ELSE e END AS folder, CASE WHEN {G.trim('x')} = '' THEN '' ELSE d END AS decoded, 'path-' || substr(sha256(x), 1, 16) AS hashed FROM k"
+)
+def project_keys(spark, d):
+    """Keys of projects over URLs and literal spellings."""
+    rows = _table(spark, d, "pages").select(F.col("url").alias("x")).union(spark.createDataFrame([(x,) for x in _ORIGINS], "x string"))
+    return rows.select("x", P.project_key("x").alias("key"), P.from_origin("x").alias("origin"), P.encode_key("x").alias("folder"), P.decode_key("x").alias("decoded"), P.path_project("x").alias("hashed"))
+
+
+_WORDS = f"(SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM conversations UNION SELECT * FROM (VALUES ('jwt'), ('jsonwebtoken'), ('my_Func'), ('kebab-case'), ('a/b.go'), ('x.y1'), ('_p'), ('..'), ('a..b'), ('ok.id-1'), (''), ('Ünï'), ('pkg.Name')))"
+
+
+@query(
+    f", e AS (SELECT w, {G.trim('w')} AS s FROM {_WORDS}), f AS (SELECT *, lower(s) AS low, lower(replace(replace(s, '_', ''), '-', '')) AS folded FROM e) "
+    "SELECT w, lower(replace(replace(w, '_', ''), '-', '')) AS folded, CASE WHEN s = '' THEN '' ELSE concat_ws(',', s, CASE WHEN folded <> '' AND folded <> low THEN folded END, CASE low WHEN 'jsonwebtoken' THEN 'jwt' WHEN 'jwt' THEN 'jsonwebtoken' END) END AS aliases, "
+    r"regexp_matches(w, '\A[A-Za-z_][A-Za-z0-9_]{2,}\z') OR (regexp_matches(w, '[/.]') AND regexp_matches(w, '\.[A-Za-z][A-Za-z0-9]*\z')) AS identifier, regexp_matches(w, '\A[_\p{L}][_\p{L}\p{N}]*\z') AND strlen(w) >= 3 AS lower_identifier, "
+    r"regexp_replace(w, '[^A-Za-z0-9._-]', '_', 'g') AS file, regexp_matches(w, '\A[A-Za-z0-9][A-Za-z0-9._-]*\z') AND NOT contains(w, '..') AS safe FROM f"
+)
+def identifiers(spark, d):
+    """Identifier forms over the words of conversations and literal ones."""
+    said = _table(spark, d, "conversations").select(F.explode(F.split("text", " ")).alias("w"))
+    odd = spark.createDataFrame([(x,) for x in ("jwt", "jsonwebtoken", "my_Func", "kebab-case", "a/b.go", "x.y1", "_p", "..", "a..b", "ok.id-1", "", "Ünï", "pkg.Name")], "w string")
+    return said.union(odd).distinct().select("w", X.fold_ident("w").alias("folded"), F.array_join(X.expand_ident("w"), ",").alias("aliases"), X.is_identifier("w").alias("identifier"), X.is_lower_identifier("w").alias("lower_identifier"), X.sanitise("w").alias("file"), X.is_safe_id("w").alias("safe"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN strlen(s) <= 120 THEN s ELSE left(s, k) || CASE WHEN strlen(left(s, k)) < 120 THEN '�' ELSE '' END || '…' END AS shown, "
+    "CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size FROM "
+    "(SELECT *, list_max(list_filter(range(30, 121), lambda q: strlen(left(s, q)) <= 120)) AS k FROM (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS s, strlen(text) * strlen(text) AS n FROM documents))"
+)
+def display(spark, d):
+    n = F.octet_length("text").cast("long")
+    return _table(spark, d, "documents").select("doc_id", X.clip_display("text").alias("shown"), X.byte_size(n * n).alias("size"))
+
+
+@query(
+    "SELECT id, replace(project_key, '/', '__') || '/' || id || '.md' AS file, sha256('---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'project: ' || project_key || chr(10) || 'status: active' || chr(10) || 'created_at: ' || created_at || chr(10) || 'session: ' || session_id || chr(10) "
+    "|| 'paths: [\"' || path || '\"]' || chr(10) || 'symbols: [\"' || stem || '\"]' || chr(10) || '---' || chr(10) || chr(10) || text || chr(10)) AS body_sha FROM claims_v"
+)
+def markdown(spark, d):
+    return store.to_markdown(claims_view(spark, d)).select("id", "file", F.sha2("body", 256).alias("body_sha"))
+
+
+_FAILED_WORD = "(?i)(?<![0-9A-Za-z_])failed(?![0-9A-Za-z_])"
+_ITEM = f"CASE WHEN {G.has('t', r'\A[-*] ')} THEN {G.trim('substr(t, 3)')} WHEN {G.has('t', r'\A\d+[.)]\s+')} THEN {G.trim(f'regexp_replace(t, {G.quote(chr(92) + "A" + chr(92) + "d+[.)]" + chr(92) + "s+")}, ' + chr(39) * 2 + ')')} END"
+
+
+@query(
+    f", {_SAID}, {G.gate_ctes('said')}, k AS (SELECT *, regexp_extract_all(replace(text, '\\', '/'), {G.re2(rules.PATH)}) AS paths FROM gated), f AS (SELECT *, {G.grounded('paths')} AS grounded FROM k), "
+    f"m AS (SELECT *, {G.has('text', _FAILED_WORD)} AND NOT regexp_matches(regexp_replace(text, '`[^`]*(?:`|\\z)', '', 'g'), {G.re2(_FAILED_WORD)}) AS ticked, ({_ITEM}) IS NOT NULL AS listed FROM f), "
+    "kinds AS (SELECT unnest(['failed', 'decision', 'constraint', 'state', 'thread']) AS kind) "
+    "SELECT DISTINCT m.text AS text, kind, skip_prose OR listed OR (kind = 'state' AND (next_i OR process_state)) OR (kind = 'decision' AND (planning OR quoted_attribution OR narrative_decision)) OR (kind = 'constraint' AND (session_op OR agent_prompt OR constraint_fragment)) "
+    "OR (kind = 'failed' AND (status_failed OR failed_as_object OR (len(paths) = 0 AND ticked) OR NOT grounded)) AS noise, grounded FROM m, kinds"
+)
+def noise(spark, d):
+    """The gate at reading time over sentences, for every type."""
+    said = messages_view(spark, d).select(F.explode(C.split_sentences("text")).alias("text")).union(_samples(spark).select("text")).distinct()
+    rows = said.select(F.trim("text").alias("text"), F.explode(X.strings(TYPES)).alias("kind")).withColumn("paths", P.find_paths("text"))
+    return rows.select("text", "kind", store.is_noise("kind").alias("noise"), C.grounded_failed("text", "paths").alias("grounded"))
+
+
+@query(
+    ", f AS (SELECT session_id AS path, count(*) AS size FROM actions_v WHERE seq % 3 <> 0 GROUP BY 1), c AS (SELECT session_id AS path, count(*) FILTER (seq % 3 <> 0) + (CAST(session_id AS BIGINT) % 3) - 1 AS cursor FROM actions_v GROUP BY 1), "
+    "s AS (SELECT c.path, CAST(c.path AS BIGINT) % 7 AS p, CASE WHEN size IS NULL THEN 'missing' WHEN cursor > size THEN 'past-eof' WHEN cursor < size THEN 'behind' ELSE 'ok' END AS status FROM c LEFT JOIN f ON c.path = f.path), "
+    "n AS (SELECT 'p' || p AS project_key, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'behind') AS b, count(*) FILTER (status = 'past-eof') AS e, count(*) FILTER (status = 'missing') AS m FROM s GROUP BY 1) "
+    "SELECT project_key, CASE WHEN b + e + m = 0 THEN ok || ' ok' ELSE concat_ws(' ', CASE WHEN b > 0 THEN b || ' behind' END, CASE WHEN e > 0 THEN e || ' past-eof' END, CASE WHEN m > 0 THEN m || ' missing' END, CASE WHEN ok > 0 THEN ok || ' ok' END) END AS note FROM n"
+)
+def cursor_notes(spark, d):
+    a = actions_view(spark, d)
+    files = a.where("seq % 3 <> 0").groupBy(F.col("session_id").alias("path")).agg(F.count(F.lit(1)).alias("size"))
+    cursors = a.groupBy(F.col("session_id").alias("path")).agg((F.count_if(F.col("seq") % 3 != 0) + F.col("path").cast("long") % 3 - 1).alias("cursor"))
+    sessions = cursors.select(F.concat(F.lit("p"), (F.col("path").cast("long") % 7).cast("string")).alias("project_key"), F.col("path").alias("jsonl"))
+    return store.cursor_notes(sessions, store.cursor_status(cursors, files))
+
+
+@query(
+    ", u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), s AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'path-' ELSE 'own/' END || user_id AS project_key, user_id % 4 AS active, n * (user_id % 5) * 200000 AS bytes FROM u) "
+    "SELECT printf('%d path-hash projects with almost no claims (folders without git origin)', count(*)) AS note FROM s WHERE starts_with(project_key, 'path-') AND active <= 1 AND bytes < 102400 HAVING count(*) > 0 "
+    "UNION ALL SELECT project_key || ': ' || CASE WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024) ELSE printf('%.1f MB', bytes / 1048576) END || ' tape / ' || active || ' claims' FROM s WHERE NOT starts_with(project_key, 'path-') AND active > 0 AND bytes >= 10485760 AND bytes // active >= 512000"
+)
+def health_notes(spark, d):
+    u = _table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    stats = u.select(F.concat(F.when(F.col("user_id") % 3 == 0, "path-").otherwise("own/"), F.col("user_id").cast("string")).alias("project_key"), (F.col("user_id") % 4).alias("active"), (F.col("n") * (F.col("user_id") % 5) * 200000).alias("raw_bytes"))
+    return store.health_notes(stats, spark.createDataFrame([], "status string"))
+
+
+@query(
+    ", s AS (SELECT DISTINCT project_key, session_id, CASE WHEN session_id = 'fr' THEN '/tmp/TestRun123/x' ELSE '/w' END AS workspace FROM claims_v WHERE project_key <> 'src3' OR session_id = 'fr'), g AS (SELECT * FROM s WHERE workspace <> '/w'), "
+    "o AS (SELECT project_key FROM s GROUP BY 1 HAVING bool_and(workspace <> '/w')) SELECT id FROM claims_v c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = c.session_id AND g.project_key = c.project_key) AND project_key NOT IN (SELECT project_key FROM o)"
+)
+def prune(spark, d):
+    """Sessions of test folders go, with their claims and the projects that had nothing else."""
+    c = claims_view(spark, d)
+    known = c.select("project_key", "session_id").distinct().where("project_key <> 'src3' or session_id = 'fr'")
+    sessions = known.select(F.concat_ws("/", F.lit("/t"), "project_key", "session_id").alias("jsonl"), "session_id", F.lit("cli").alias("harness"), F.when(F.col("session_id") == "fr", "/tmp/TestRun123/x").otherwise("/w").alias("workspace"), "project_key", F.lit(0).cast("long").alias("seq"))
+    return store.prune(c, sessions)[0].select("id")
+
+
+@query(
+    ", r AS (SELECT item_id, text, 'r' || item_id AS request_id FROM benchmark), h AS (SELECT 'r' || (doc_id % 40) AS request_id, text FROM documents), "
+    "n AS (SELECT request_id, item_id % 5 AS case_id, lower(unnest([string_split(text, ' ')[1], string_split(text, ' ')[2], 'no such needle'])) AS needle FROM r), f AS (SELECT n.case_id, n.request_id, needle, coalesce((SELECT bool_or(contains(lower(h.text), needle)) FROM h WHERE h.request_id = n.request_id), false) AS hit FROM n) "
+    "SELECT case_id, request_id, count(*) AS needed, count(*) FILTER (hit) AS hit, round(count(*) FILTER (hit) / count(*), 9) AS recall FROM f GROUP BY 1, 2"
+)
+def score_asks(spark, d):
+    """Needles of benchmark items found in the texts of an ask's hits."""
+    w = F.split("text", " ")
+    expected = _table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("case_id"), F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("request_id"), F.array(w[0], w[1], F.lit("no such needle")).alias("needles"))
+    hits = _table(spark, d, "documents").select(F.concat(F.lit("r"), (F.col("doc_id") % 40).cast("string")).alias("request_id"), "text")
+    return store.score_asks(expected, hits).withColumn("recall", F.round("recall", 9))
+
+
+@query(
+    ", h AS (SELECT project_key AS request_id, id, row_number() OVER (PARTITION BY project_key ORDER BY id) AS n FROM claims_v), q AS (SELECT DISTINCT project_key FROM claims_v), "
+    "a AS (SELECT project_key, 'ask' AS kind, coalesce(id, '') AS claim_id FROM q LEFT JOIN h ON request_id = project_key AND n <= 2 AND project_key <> 'src0' UNION ALL SELECT project_key, 'warn', id FROM q JOIN h ON request_id = project_key AND n = 1 AND project_key <> 'src0') SELECT project_key, kind, claim_id, 'default' AS session_id FROM a"
+)
+def ask_records(spark, d):
+    """Action rows of an ask: its hits, none, and the warned ids."""
+    c = claims_view(spark, d)
+    hits = store.top(c.where("project_key <> 'src0'"), ["project_key"], ["id"], 2)
+    first = F.row_number().over(Window.partitionBy("project_key").orderBy("id")) == 1
+    hits = hits.select(F.col("project_key").alias("request_id"), "id", F.when(first, F.concat(F.lit("Take care (see "), "id", F.lit(")."))).alias("warning"))
+    req = c.select("project_key").distinct().select(F.col("project_key").alias("request_id"), "project_key", F.lit("").alias("session_id"), X.strings(()).alias("seed_paths"), X.strings(()).alias("tokens"), F.lit("2026-01-01T00:00:00Z").alias("at"))
+    return store.ask_records(req, hits).select("project_key", "kind", "claim_id", "session_id")
+
+
+@query("SELECT vec_id, i - 1 AS pos, round(CAST(CAST(embedding[i] * CAST(1 / n AS FLOAT) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings))")
+def unit_vectors(spark, d):
+    e = _table(spark, d, "embeddings").select("vec_id", F.posexplode(hashes.l2_normalise("embedding")).alias("pos", "x"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+
+
+@query(
+    f", t AS (SELECT *, to_json({{'type': role, 'content': text}}) AS line FROM messages_v), o AS (SELECT *, strlen(line) + 1 AS k FROM t), p AS (SELECT *, CAST(coalesce(sum(k) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"at\" FROM o) "
+    f"SELECT session_id, \"at\" AS \"offset\", role, sha256({G.clip('text')}) AS text_sha FROM p WHERE role <> 'system' UNION ALL SELECT session_id, \"at\", '', sha256('') FROM p WHERE role = 'system'"
+)
+def incremental_tail(spark, d):
+    """Conversations as tapes, read in two batches from byte offsets."""
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("content")))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _table(spark, d, "conversations").withColumn("line", line).withColumn("n", F.row_number().over(w))
+    at = F.coalesce(F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("at", at.cast("long")).withColumn("batch", (F.col("n") > 3).cast("int"))
+    chunk = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    chunks = t.groupBy("conv_id", "batch").agg(F.min("at").alias("base"), chunk.alias("chunk"))
+    said = parse_sessions(chunks.select(F.lit("p").alias("project_key"), F.col("conv_id").cast("string").alias("session_id"), F.lit("cli").alias("harness"), F.lit("turn").alias("source"), "base", "chunk"))
+    return said.select("session_id", "offset", "role", F.sha2("text", 256).alias("text_sha"))
+
+
 # -- retrieval ------------------------------------------------------------------------
 _TERMS = ("the", "that", "und", "pour")
 _BM25 = """, body AS (SELECT doc_id, list_transform(regexp_extract_all(strip_accents(text), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS t FROM documents),
