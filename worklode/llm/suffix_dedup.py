@@ -224,6 +224,11 @@ def _in_chunks(entries):
         wide = max(1, _W * CHUNK_WINDOWS // windows)
         if windows < 2 * CHUNK_WINDOWS or entries[lo][0] != entries[hi - 1][0]:
             wide = _W
+        if wide == _W:
+            owner, first, last, least = _resolve([e[1:3] for e in entries[lo:hi]])
+            yield owner + lo, first, last, least
+            lo = hi
+            continue
         for near in range(0, _W, wide):  # windows at different distances from the anchor are never equal
             part, owners, starts = [], [], []
             for i in range(lo, hi):
@@ -261,18 +266,16 @@ def _sample_splitters(base: DataFrame, buckets: int, total: int, seed: int = 1):
 
     sample = base.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(50)) == 0).select("text")
     tokens = materialize(bounded(sample).mapInArrow(run, "a long, b long"))
-    step = max(1, tokens.count() // buckets)
-
-    def every(batches):
-        seen = 0
-        for b in batches:
-            at = np.arange((-seen - 1) % step, b.num_rows, step)
-            seen += b.num_rows
-            yield b.take(pa.array(at))
-
     parts = max(1, min(buckets, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranked = tokens.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b")
-    return sorted((r.a, r.b) for r in ranked.mapInArrow(every, "a long, b long").collect())
+    ranked = materialize(tokens.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    counts = sorted((r.p, r["count"]) for r in ranked.groupBy(part.alias("p")).count().collect())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    step = max(1, before[-1] // buckets)
+    starts = base.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "p long, before long")  # a row for each partition
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    found = ranked.withColumn("p", part).join(F.broadcast(starts), "p").where(((rank + 1) % step == 0) & (rank + 1 < before[-1]))
+    return sorted((r.a, r.b) for r in found.select("a", "b").collect())
 
 
 def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -360,19 +363,23 @@ def dedup_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         padded = [s[p : p + 16] for (p, s), _ in items]
         tokens = np.frombuffer(b"".join(padded), ">u8").astype(np.uint64).reshape(-1, 2)
         low, high = buckets_of(tokens[:, 0], tokens[:, 1])
-        places: dict[int, dict] = {}
-        for ((p, s), occ), a, b in zip(items, low.tolist(), high.tolist(), strict=True):
-            if a == b:
-                places.setdefault(a, {})[p, s] = occ
-                continue
+        divided: dict[int, dict] = {}
+        for i in np.flatnonzero(low != high).tolist():
+            (p, s), occ = items[i]
+            a, b = int(low[i]), int(high[i])
             for near in range(0, _W, _CLASS):
                 first, last = _of_distances(p, len(s) - LENGTH + 1, near, near + _CLASS - 1)
                 if first <= last:
                     k = a + zlib.crc32(s[p - near : p - near + _SHARED]) % (b - a + 1)
-                    places.setdefault(k, {}).setdefault((p - first, s[first : last + LENGTH]), []).extend((d, x + first) for d, x in occ)
+                    divided.setdefault(k, {}).setdefault((p - first, s[first : last + LENGTH]), []).extend((d, x + first) for d, x in occ)
         rows = []
-        for k in sorted(places):
-            own = list(places[k].items())
+        order = np.argsort(low, kind="stable")
+        order = order[low[order] == high[order]]
+        cuts = np.searchsorted(low[order], np.arange(len(split_a) + 2))
+        for k in range(len(split_a) + 1):
+            own = [items[i] for i in order[cuts[k] : cuts[k + 1]].tolist()] + list(divided.get(k, {}).items())
+            if not own:
+                continue
             occ = [o for _, os in own for o in os]
             z = lambda x: pack_u64(np.array(x, np.int64).view(np.uint64))
             rows.append((k, key[0].as_py(), z([len(s) for (_, s), _ in own]), z([p for (p, _), _ in own]), zlib.compress(b"".join(s for (_, s), _ in own), 1), z([ids[min(os)[0]] for _, os in own]), z([len(os) for _, os in own]), z([d for d, _ in occ]), z([s for _, s in occ])))
