@@ -20,6 +20,8 @@ from worklode.ledger import SEQ_BITS, Ledger
 from worklode.operators import extract, store
 from worklode.plans import ask as A
 from worklode.plans import index as I
+from worklode.sources import locate as L
+from worklode.sources.files import allowed
 from worklode.sources.sqlite import SqliteSource
 from worklode.sources.transcripts import parse_sessions
 from worklode.streaming.tail import TailSource
@@ -36,14 +38,13 @@ _RESOLVE = {
     "cursors": lambda t: store.latest(t, "path"),
     "vectors": lambda t: store.top(t, ["record_id", "model", "dim"], [F.desc("seq")], 1),
 }
-#: Sources whose end is a compaction.
-COMPACT = ("compact", "pre-compact", "post-compact")
 #: Projects whose keys are told to the scan one by one.
 _LISTED = 1000
 
 
 def is_compact(source: str) -> bool:
-    return source.strip().lower() in COMPACT
+    """Does a source end in a compaction (H11)?"""
+    return "compact" in source.strip().lower()
 
 
 class Conflict(Exception):
@@ -304,6 +305,32 @@ class Engine:
                 raw = self.ledger.rows(n, RELATIONS[n] + _EXTRA.get(n, ""), at)
                 self.ledger.replace(n, raw.join(gone.select(F.col(on).alias(c)), c, "left_anti").select(*raw.columns), at)
 
+    def delete_project(self, project: str) -> None:
+        """Everything of a project."""
+        key = self.spark.createDataFrame([(project,)], "p string").select(P.project_key("p").alias("project_key"))
+        for name in ("claims", "terms", "vectors", "excerpts", "tape", "actions", "sessions"):
+            self.delete(name, key, "project_key")
+
+    def locate(self, home: str, session: str, harness: str | None = None) -> DataFrame:
+        """A session's file in a home folder (H9)."""
+        return L.locate(L.sessions_at(self.spark, home), session, harness)
+
+    def catch_up_session(self, path: str, session: str, project: str, harness: str = "other", now=None) -> bool:
+        """A located session file from its cursor on; was there anything new (R45, R46, H7, H8)?"""
+        with self.ledger.lock:
+            raw = self.spark.read.format("binaryFile").load(path).where(allowed("path", "length"))
+            text = F.regexp_extract(F.make_valid_utf8(F.col("content").cast("string")), r"(?s)\A(.*\n)?", 0)
+            chunk = raw.select(F.lit(project).alias("project_key"), F.lit(session).alias("session_id"), F.lit(harness).alias("harness"), F.lit("turn").alias("source"), F.lit(0).cast("long").alias("base"), F.octet_length(text).cast("long").alias("end"), text.alias("chunk"), F.lit(path).alias("path"))
+            fresh = A.cut(self._unread(chunk))
+            if fresh.isEmpty():
+                return False
+            self.ingest(fresh, now)
+            return True
+
+    def vector_count(self) -> int:
+        """A7."""
+        return self.read("vectors").count()
+
     def health(self) -> dict:
         return {"ok": True, "active": self.read("claims").where("status = 'active'").count()}
 

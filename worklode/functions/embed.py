@@ -7,9 +7,10 @@ degrade: the rows get no vector and retrieval goes on without them.
 from __future__ import annotations
 
 import json
+import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -75,6 +76,21 @@ class CommandEmbedder:
         return [unit(v) for v in vectors]
 
 
+def open_embedder(env: Mapping[str, str] = os.environ) -> CommandEmbedder | None:
+    """The command that the environment names, or none: retrieval goes on without vectors."""
+    command = env.get("WORKLODE_EMBED_CMD", "").strip()
+    return CommandEmbedder(command, dim=int(env.get("WORKLODE_EMBED_DIM", "384"))) if command else None
+
+
+def pack_vector(v) -> bytes:
+    """Little-endian float32 (M6)."""
+    return np.asarray(v, "<f4").tobytes()
+
+
+def unpack_vector(b: bytes) -> list[float]:
+    return np.frombuffer(b, "<f4").tolist()
+
+
 def embedding(embedder, text: Column) -> Column:
     """The vector of a text, null where the embedder fails."""
 

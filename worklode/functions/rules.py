@@ -108,3 +108,23 @@ ORIGIN = r"[:/]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?\z"
 TEST_PATH = r"(?:^|/)Test[A-Z][A-Za-z0-9_]*[0-9]{3,}(?:/|$)"
 #: Sentence ends: after a line break, ! or ?, and after a dot that ends no file name's stem and no list number.
 SENTENCE_END = r"""(?<=[\n!?])|(?<=\.)(?<!(?<=[A-Za-z0-9])\.(?=[A-Za-z0-9]{1,8}(?:\z|[ \t,;:)\]'".!?-])))(?<!(?:\A|\n)[0-9]{1,9}\.(?=[ \t]))"""
+
+# -- fixed values: words that are no topics and no identifiers --------------------
+OVERLAP_STOP = (
+    "the and for not why how what which this that with from into then than use using add pick know already about should would could thing idea "
+    "work working want need make keep over also just like have been will does doing library choice status please"
+).split()
+IDENT_STOP = (
+    "the and for not why how what which this that with from into then than use using add pick know already about should would could library "
+    "choice thing idea work working limit limiting rate want need make keep looking were here there last next again still back stuff going gone "
+    "continue ok"
+).split()
+JOB_STOP = ("failed-overlap", "shipped-overlap", "type-cap", "packtypecap", "classified as", "extract noise", "ask pack", "failed", "failure")
+TAIL_FAILED = r"(?i)(?<![0-9A-Za-z_])(?:rejected|didn't work|did not work|revert|abort|failed|failure|error|didn't compile|does not work)(?![0-9A-Za-z_])"
+
+# -- fixed values: warnings of a pack -------------------------------------------
+WARNINGS = {
+    "failed": "A prior attempt at this goal failed (see {}). Do not repeat it without new evidence.",
+    "decision": "Existing implementation may already cover part of this goal (see {}). get_record that id before treating it as done.",
+    "constraint": "A standing constraint applies (see {}). Do not violate it without an explicit override.",
+}

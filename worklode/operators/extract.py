@@ -15,6 +15,8 @@ from worklode.functions import sentences as C
 from worklode.functions import text as X
 from worklode.functions.hashes import claim_hash, new_id
 
+#: Bytes of a range of offsets in which spans and excerpts meet.
+_NEARBY = 1 << 16
 _SESSION = ("project_key", "session_id")
 
 
@@ -176,12 +178,15 @@ def excerpts(messages: DataFrame, month: Column) -> DataFrame:
 def covering_excerpt(claims: DataFrame, stored: DataFrame) -> DataFrame:
     """The smallest excerpt that covers a claim's span, in the newest of 13 months back that has one.
 
-    An equi-join on the session with bounds beside it, so spans of one session meet only each other.
+    An equi-join on the session and a range of offsets with bounds beside it, so spans meet only excerpts nearby.
     """
     c = claims.where("transcript_ref is not null").select("id", "created_at", F.col("transcript_ref.session_id").alias("session_id"), F.col("transcript_ref.start_offset").alias("a"), F.greatest("transcript_ref.end_offset", "transcript_ref.start_offset").alias("b"))
     first = F.trunc(F.coalesce(F.try_to_timestamp("created_at"), F.current_timestamp()), "month")
     c = c.withColumns({"newest": F.date_format(first, "yyyy-MM"), "oldest": F.date_format(F.add_months(first, -12), "yyyy-MM")})
+    place = lambda x: F.floor(F.col(x) / _NEARBY).cast("long")
+    c = c.withColumn("place", place("a"))
     e = stored.select(F.col("session_id"), F.col("id").alias("excerpt_id"), "start_offset", "end_offset", F.col("text").alias("excerpt"), "month")
-    both = c.join(e, (c.session_id == e.session_id) & (e.start_offset <= c.a) & (e.end_offset >= c.b) & e.month.between(c.oldest, c.newest))
+    e = e.withColumn("place", F.explode(F.sequence(place("start_offset"), F.greatest(place("start_offset"), place("end_offset")))))
+    both = c.join(e, (c.session_id == e.session_id) & (c.place == e.place) & (e.start_offset <= c.a) & (e.end_offset >= c.b) & e.month.between(c.oldest, c.newest))
     w = Window.partitionBy("id").orderBy(F.desc("month"), F.col("end_offset") - F.col("start_offset"), "excerpt_id")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "excerpt_id", "excerpt", "month")

@@ -232,6 +232,18 @@ def ask_records(request: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 # -- sessions, cursors, vectors, excerpts ------------------------------------------
+def refuse_test_ingest(root="root", workspace="workspace", jsonl="jsonl", session="session_id") -> Column:
+    """Test sessions do not enter a store that is no test's."""
+    test = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(rules.TEST_PATH)
+    return ~test(root) & (is_fixture(session) | test(workspace) | test(jsonl))
+
+
+def of_path(sessions: DataFrame, path: str) -> DataFrame:
+    """Sessions of a folder or of one below it."""
+    p = path.rstrip("/")
+    return sessions.where((F.col("workspace") == p) | F.col("workspace").startswith(p + "/") | (F.col("jsonl") == p))
+
+
 def latest(table: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Last write of each key."""
     rest = [c for c in table.columns if c != key]

@@ -21,29 +21,15 @@ from worklode.plans import pack
 from worklode.plans.cut import cut
 from worklode.plans.index import Index, search
 
-# -- fixed values: words that are no topics and no identifiers --------------------
-OVERLAP_STOP = (
-    "the and for not why how what which this that with from into then than use using add pick know already about should would could thing idea "
-    "work working want need make keep over also just like have been will does doing library choice status please"
-).split()
-IDENT_STOP = (
-    "the and for not why how what which this that with from into then than use using add pick know already about should would could library "
-    "choice thing idea work working limit limiting rate want need make keep looking were here there last next again still back stuff going gone "
-    "continue ok"
-).split()
-JOB_STOP = ("failed-overlap", "shipped-overlap", "type-cap", "packtypecap", "classified as", "extract noise", "ask pack", "failed", "failure")
-TAIL_FAILED = r"(?i)(?<![0-9A-Za-z_])(?:rejected|didn't work|did not work|revert|abort|failed|failure|error|didn't compile|does not work)(?![0-9A-Za-z_])"
-
-
 def query_symbols(tokens: Column) -> Column:
     """Identifiers among tokens, with aliases, first seen."""
-    good = F.filter(F.transform(tokens, F.lower), lambda t: (t != "") & ~t.isin(*IDENT_STOP) & (X.is_lower_identifier(t) | t.rlike("[/.]")))
+    good = F.filter(F.transform(tokens, F.lower), lambda t: (t != "") & ~t.isin(*rules.IDENT_STOP) & (X.is_lower_identifier(t) | t.rlike("[/.]")))
     return X.uniq(F.flatten(F.transform(good, lambda t: F.transform(X.expand_ident(t), F.lower))))
 
 
 def is_content(t: Column) -> Column:
     """X9."""
-    return (t != "") & ~t.isin(*OVERLAP_STOP) & ((F.char_length(t) > 3) | X.is_lower_identifier(t))
+    return (t != "") & ~t.isin(*rules.OVERLAP_STOP) & ((F.char_length(t) > 3) | X.is_lower_identifier(t))
 
 
 def content_overlap(query_tokens, text) -> Column:
@@ -57,14 +43,14 @@ def content_overlap(query_tokens, text) -> Column:
 def job_text(x) -> Column:
     """Text without back-tick spans and talk about types."""
     s = F.lower(F.regexp_replace(X.col(x), r"`[^`]*(?:`|\z)", " "))
-    for w in JOB_STOP:
+    for w in rules.JOB_STOP:
         s = F.replace(s, F.lit(w), F.lit(" "))
     return s
 
 
 def strong_ident(symbols) -> Column:
     """X8."""
-    return F.exists(X.col(symbols), lambda s: ~s.isin(*IDENT_STOP) & (X.is_lower_identifier(s) | s.rlike("[_-]")))
+    return F.exists(X.col(symbols), lambda s: ~s.isin(*rules.IDENT_STOP) & (X.is_lower_identifier(s) | s.rlike("[_-]")))
 
 
 def normalise(requests: DataFrame) -> DataFrame:
@@ -91,7 +77,7 @@ def tails(messages: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("project_key").orderBy(F.desc("offset"))
     size = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     t = usable.withColumn("_n", F.row_number().over(w)).withColumn("_s", size).where((F.col("_n") <= S.TAIL_MESSAGES) & (F.col("_s") <= S.TAIL_BYTES))
-    failed = F.when(F.col("error") | F.col("text").rlike(TAIL_FAILED), X.tokens("text")).otherwise(X.strings(()))
+    failed = F.when(F.col("error") | F.col("text").rlike(rules.TAIL_FAILED), X.tokens("text")).otherwise(X.strings(()))
     rows = t.groupBy("project_key").agg(F.sort_array(F.collect_list(F.struct("offset", "role", "text", P.find_paths("text").alias("paths"), failed.alias("failed")))).alias("m"))
     users = F.filter("m", lambda m: m["role"] == "user")
     return rows.select("project_key", F.get(F.transform(users, lambda m: m["text"]), F.size(users) - 1).alias("last_user"), P.path_keys(F.flatten(F.transform("m", lambda m: m["paths"]))).alias("tail_paths"), F.flatten(F.transform("m", lambda m: m["failed"])).alias("failed_tokens"))
@@ -204,7 +190,10 @@ def unite(parts: list[tuple[int, DataFrame]], limit: int = S.CANDIDATE_CAP) -> D
 def vector_hits(q: DataFrame, vectors: DataFrame, claims: DataFrame, cap: int = S.VECTOR_CAP) -> DataFrame:
     """(request_id, id, cosine, pos): exact neighbours inside the project, model and dimension."""
     v = vectors.join(claims.select(F.col("id").alias("record_id")), "record_id", "left_semi")
-    near = q.where("query_vec is not null").select("request_id", "project_key", "model", "query_vec").join(v.select("record_id", "project_key", "model", "vec"), ["project_key", "model"])
+    asked = q.where("query_vec is not null").select("request_id", "project_key", "model", "query_vec")
+    # the vectors grow, a batch of requests seldom does: up to VECTOR_BATCH it is sent to them, beyond that both sides move
+    small = asked.limit(S.VECTOR_BATCH + 1).count() <= S.VECTOR_BATCH
+    near = v.select("record_id", "project_key", "model", "vec").join(F.broadcast(asked) if small else asked, ["project_key", "model"])
     near = near.where(F.size("vec") == F.size("query_vec")).withColumn("cosine", H.cosine("query_vec", "vec")).where("cosine > 0")
     w = Window.partitionBy("request_id").orderBy(F.desc("cosine"), "record_id")
     return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).select("request_id", F.col("record_id").alias("id"), "cosine", "pos")

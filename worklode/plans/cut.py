@@ -17,7 +17,11 @@ def _own_dir() -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder of spark.checkpoint.dir: planned and computed once, reread on recovery."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    path = f"{base.rstrip('/')}/worklode-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
+    path = f"{base.rstrip('/')}/worklode-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

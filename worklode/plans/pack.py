@@ -6,6 +6,7 @@ import json
 import re
 
 from worklode import schemas as S
+from worklode.functions import rules
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -132,13 +133,6 @@ def run(rows: list[dict], limit: int, head: bool) -> tuple[list[dict], list[tupl
     return packed, [(c, "evicted-for-failed" if c["id"] in evicted else p.reason(c, packed)) for c in p.rows if c["id"] not in inside]
 
 
-WARNINGS = {
-    "failed": "A prior attempt at this goal failed (see {}). Do not repeat it without new evidence.",
-    "decision": "Existing implementation may already cover part of this goal (see {}). get_record that id before treating it as done.",
-    "constraint": "A standing constraint applies (see {}). Do not violate it without an explicit override.",
-}
-
-
 def warning(c: dict) -> str | None:
     strong = c["failed_overlap"] if c["type"] == "failed" else c["shipped_overlap"]
-    return WARNINGS[c["type"]].format(c["id"]) if strong and c["type"] in WARNINGS else None
+    return rules.WARNINGS[c["type"]].format(c["id"]) if strong and c["type"] in rules.WARNINGS else None

@@ -49,6 +49,53 @@ def read_sealed(spark: SparkSession, root: str) -> DataFrame:
     return raw.mapInPandas(run, "path string, chunk string")
 
 
+def idle(files: DataFrame, now_ms: int, hours: float = 24) -> DataFrame:
+    """Tapes that nothing has been written to for a day, and that are not sealed yet (ST6, H28)."""
+    return files.where(F.col("path").endswith(".jsonl") & (F.col("mtime_ms") <= now_ms - int(hours * 3_600_000)))
+
+
+def seal_tapes(files: DataFrame) -> DataFrame:
+    """Each tape of (path) becomes ``path``.zst beside it, written whole before the plain one goes; sealed ones stay.
+
+    Gives (path, sealed); a repeated run does nothing more. Tapes lie where the
+    executors can write.
+    """
+
+    def run(batches):
+        import os
+
+        import zstandard
+
+        for pdf in batches:
+            done = []
+            for p in pdf.path:
+                p = p.removeprefix("file:") if p.startswith("file:") else p
+                if os.path.isfile(p) and not os.path.islink(p):
+                    draft = f"{p}.zst.tmp"
+                    with open(p, "rb") as src, open(draft, "wb") as out:
+                        zstandard.ZstdCompressor().copy_stream(src, out)
+                    os.replace(draft, f"{p}.zst")
+                    os.remove(p)
+                done.append(os.path.exists(f"{p}.zst"))
+            yield pd.DataFrame({"path": pdf.path, "sealed": done})
+
+    return files.select("path").mapInPandas(run, "path string, sealed boolean")
+
+
+def confined(root: str, *parts: str) -> str:
+    """A path below ``root``, or an error: no absolute, empty or upward parts, no links on the way (P20)."""
+    import os
+
+    if any(not x or x in (".", "..") or "/" in x or "\\" in x or "\x00" in x for x in parts):
+        raise ValueError(f"not a name: {parts}")
+    at = root
+    for x in parts:
+        at = os.path.join(at, x)
+        if os.path.islink(at):
+            raise ValueError(f"{at} is a link")
+    return at
+
+
 def seal(lines: DataFrame, path: str) -> None:
     """Write tape lines as zstd-compressed Parquet, a folder for each project and month."""
     lines.write.mode("overwrite").option("compression", "zstd").partitionBy("project_key", "month").parquet(path)
