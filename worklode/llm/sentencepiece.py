@@ -35,9 +35,11 @@ from worklode.llm.common import bounded, column, mix64, ranges, text_slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONG = 256
+LONG = 64
 #: Characters encoded at once, and symbols of one segment that are.
 PIECE, SEGMENT = 1 << 18, 1 << 19
+#: Bytes of a slice: its arrays stay in a core's cache.
+SLICE = 1 << 17
 _NONE = np.int64(1 << 62)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CROSS_BITS = 22
@@ -322,7 +324,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", dropout: float = 0
 
     def run(batches):
         e = Encoder(shared.value, dropout, seed)
-        for b, data, offs in text_slices(batches, text_col, 1 << 18):
+        for b, data, offs in text_slices(batches, text_col, SLICE):
             texts = [t or "" for t in column(b, text_col).to_pylist()]
             ids, counts = e.encode(texts, np.array(column(b, "_key").to_pylist(), np.int64))
             raw, o = data.tobytes(), offs.tolist()
