@@ -357,6 +357,26 @@ def test_decontaminate_removes_spans(spark):
     assert set(out) == {1, 3, 4} and out[1].text == "Start here  the end of it, with more words than the item has." and out[4].text is None
 
 
+def test_decontaminate_takes_one_python_worker_a_task(spark):
+    r = random.Random(16)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(9)]
+    docs, want = [], {}
+    for i in range(60):
+        own = r.sample(items, i % 4)
+        parts = [" ".join(f"x{r.randint(0, 999)}" for _ in range(20)) for _ in range(len(own) + 1)]
+        docs.append((i, parts[0] + "".join(f" {t} {p}" for (_, t), p in zip(own, parts[1:], strict=True)), "en", "s", 0))
+        want[i] = "  ".join(parts)
+    docs += [(60, items[0][1] + " " + items[8][1], "en", "s", 0), (61, None, "en", "s", 0), (62, "", "en", "s", 0)]
+    want |= {61: None, 62: ""}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MAX_ITEM_BYTES, 200):  # one automaton, several
+        assert (len(decontaminate.automata(table, max_item_bytes=most)) > 2) == (most == 200)
+        out = decontaminate.decontaminate(frame(spark, docs), table, max_item_bytes=most)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        rows = out.collect()
+        assert len(rows) == len(want) and {x.doc_id: x.text for x in rows} == want
+
+
 # -- sharding ------------------------------------------------------------------
 def test_sharding_balances_and_is_gapless(spark):
     import zlib

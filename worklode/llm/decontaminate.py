@@ -23,7 +23,7 @@ import hashlib
 import re
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,18 +271,27 @@ def mark_names(columns) -> tuple[str, str, str]:
     return free_name("n_words", columns), free_name("_windows", columns), free_name("_items", columns)
 
 
-def mark(docs: DataFrame, models: Iterable[ItemAutomaton], text_col="text") -> DataFrame:
-    """``docs`` with the number of words, the hit runs of words (start, end) and the item ids found; one model at a time."""
+def mark(docs: DataFrame, models: Iterable[ItemAutomaton], text_col="text", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """``docs`` with the number of words, the hit runs of words (start, end) and the item ids found; one model at a time.
+
+    ``then`` makes batches with the columns of ``docs`` of the last model's, in the same worker: a second Python step after
+    it would keep a second worker for each core of an executor, with its memory, for the rest of the application.
+    """
     spark, kept = docs.sparkSession, docs.schema.fields
     count, spans_col, items_col = mark_names(docs.columns)
     schema = T.StructType([*kept, T.StructField(count, T.LongType()), T.StructField(spans_col, T.ArrayType(T.IntegerType())), T.StructField(items_col, T.ArrayType(T.StringType()))])
     out = docs.select(*[f"`{f.name}`" for f in kept])
-    for k, model in enumerate(models):
+    models, k = iter(models), 0
+    model = next(models, None)
+    while model is not None:
         if k:
             out = materialize(out)
         shared = spark.sparkContext.broadcast(model)  # of at most max_item_bytes of items
+        del model
+        model = next(models, None)
+        last = then if model is None else None
 
-        def run(batches, shared=shared, k=k):
+        def run(batches, shared=shared, k=k, last=last):
             m = shared.value
             for b, data, offs in text_slices(batches, text_col):
                 raw, o = data.tobytes(), offs.tolist()
@@ -298,10 +307,11 @@ def mark(docs: DataFrame, models: Iterable[ItemAutomaton], text_col="text") -> D
                     spans.append([] if mask is None else np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).tolist())
                     found.append(sorted({*(x for x in names[i] if x is not None), *(had[i] or ())}))
                 cols = [column(b, f.name) for f in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], schema.names)
+                marked = pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], schema.names)
+                yield last(marked) if last else marked
 
-        del model
-        out = bounded(out).mapInArrow(run, schema)
+        out = bounded(out).mapInArrow(run, docs.schema if last else schema)
+        k += 1
     return out
 
 
@@ -321,26 +331,24 @@ def digest(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text",
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_id="item_id", item_text="text", window=10, max_coverage=0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col="text", item_id="item_id", item_text="text", window=10, max_coverage=0.5, max_item_bytes=MAX_ITEM_BYTES) -> DataFrame:
     """Documents without the hit spans of words (every hit run is ``window`` words or a whole short item, the length
     limit); those with more than ``max_coverage`` of their words hit go. Columns as in ``docs``."""
     schema = docs.schema
-    count, spans_col, items_col = mark_names(docs.columns)
-    m = mark(docs, build(items, item_id, item_text, window), text_col)
-
-    def run(batches):
-        for b in batches:
-            spans, n = column(b, spans_col).to_pylist(), column(b, count).to_pylist()
-            texts, keep = column(b, text_col).to_pylist(), []
-            for i, s in enumerate(spans):
-                hit = sum(y - x for x, y in zip(s[::2], s[1::2], strict=True))
-                keep.append(hit <= max_coverage * n[i])
-                if s and keep[-1]:
-                    texts[i] = cut(texts[i].encode(), s).decode()
-            cols = [pa.array(texts, pa.string()) if f.name == text_col else column(b, f.name) for f in schema.fields]
-            yield pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep, pa.bool_()))
-
-    return bounded(m).mapInArrow(run, schema)
+    count, spans_col, _ = mark_names(docs.columns)
+
+    def clean(b):
+        spans, n = column(b, spans_col).to_pylist(), column(b, count).to_pylist()
+        texts, keep = column(b, text_col).to_pylist(), []
+        for i, s in enumerate(spans):
+            hit = sum(y - x for x, y in zip(s[::2], s[1::2], strict=True))
+            keep.append(hit <= max_coverage * n[i])
+            if s and keep[-1]:
+                texts[i] = cut(texts[i].encode(), s).decode()
+        cols = [pa.array(texts, pa.string()) if f.name == text_col else column(b, f.name) for f in schema.fields]
+        return pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return mark(docs, build(items, item_id, item_text, window, max_item_bytes), text_col, clean)
 
 
 def cut(text: bytes, spans: list[int]) -> bytes:
