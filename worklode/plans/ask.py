@@ -17,7 +17,7 @@ from worklode.functions import paths as P
 from worklode.functions import rules
 from worklode.functions import text as X
 from worklode.operators import store
-from worklode.plans import pack
+from worklode.plans import blocks, pack
 from worklode.plans.cut import cut
 from worklode.plans.index import Index, search
 
@@ -191,12 +191,9 @@ def vector_hits(q: DataFrame, vectors: DataFrame, claims: DataFrame, cap: int =
     """(request_id, id, cosine, pos): exact neighbours inside the project, model and dimension."""
     v = vectors.join(claims.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     asked = q.where("query_vec is not null").select("request_id", "project_key", "model", "query_vec")
-    # the vectors grow, a batch of requests seldom does: up to VECTOR_BATCH it is sent to them, beyond that both sides move
-    small = asked.limit(S.VECTOR_BATCH + 1).count() <= S.VECTOR_BATCH
-    near = v.select("record_id", "project_key", "model", "vec").join(F.broadcast(asked) if small else asked, ["project_key", "model"])
-    near = near.where(F.size("vec") == F.size("query_vec")).withColumn("cosine", H.cosine("query_vec", "vec")).where("cosine > 0")
-    w = Window.partitionBy("request_id").orderBy(F.desc("cosine"), "record_id")
-    return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).select("request_id", F.col("record_id").alias("id"), "cosine", "pos")
+    near = blocks.neighbours(asked, v.select("record_id", "project_key", "model", "vec"), cap)
+    w = Window.partitionBy("request_id").orderBy(F.desc("cosine"), "id")
+    return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).select("request_id", "id", "cosine", "pos")
 
 
 def candidates(q: DataFrame, ix: Index, vectors: DataFrame | None = None):

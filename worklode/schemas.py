@@ -25,8 +25,10 @@ PER_KEY_CAP, POSTING_CAP = 40, 80
 TYPE_CAP, RECENT_FAILED_CAP = 40, 8
 INFER_PATHS, INFER_TYPE_CAP, INFER_FIRST = 6, 24, 40
 VECTOR_CAP = 120
-#: Requests whose vectors are broadcast.
+#: Requests whose projects and models are broadcast; blocks of request vectors have twice as many.
 VECTOR_BATCH = 4096
+#: Vectors, and sets of words, of a block.
+VECTOR_BLOCK, SET_BLOCK = 32768, 16384
 ACTION_CAP = 40
 HEAD_CAPS = {"failed": 12, "decision": 10, "constraint": 8}
 COLD_PRIORITY_CAP, COLD_PATH_CAP, COLD_STATE_CAP = 30, 40, 10
