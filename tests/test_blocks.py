@@ -36,3 +36,16 @@ def test_neighbours_make_no_row_for_each_pair(spark):
     hits = A.vector_hits(q, v, v.select(F.col("record_id").alias("id")))
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "query_vec" not in "".join(x for x in plan.splitlines() if "Join Inner" in x) and "CoGroup" in plan and hits.count() == 100
+
+
+def test_similar_counts_large_sets_exactly():
+    """Over 255 and over 65,535 shared values, and pieces of more than 512 sets."""
+    sets = [np.arange(70000), np.arange(35000, 105000), np.arange(300), np.arange(100, 400), *[np.array([i, i + 1, 10**6]) for i in range(600)], np.array([], int)]
+    flat = np.concatenate(sets).astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    full = [set(s.tolist()) for s in sets]
+    near = lambda i, j: len(full[i] & full[j]) / len(full[i] | full[j]) >= 1 / 3 if full[i] and full[j] else False
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if near(i, j)}
+    got = [(max(i, j), min(i, j)) for x, y in blocks.similar(flat, flat, 1 / 3, True) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and (1, 0) in want and len(want) > 600
+    cross = {(i, j) for x, y in blocks.similar(flat, flat, 1 / 3) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert cross == {p for i, j in want for p in ((i, j), (j, i))} | {(i, i) for i in range(len(sets) - 1)}
