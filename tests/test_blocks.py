@@ -38,6 +38,39 @@ def test_neighbours_make_no_row_for_each_pair(spark):
     assert "query_vec" not in "".join(x for x in plan.splitlines() if "Join Inner" in x) and "CoGroup" in plan and hits.count() == 100
 
 
+def _claims(spark, rng):
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        own = rng.sample(words, rng.randint(0, 12)) if i % 3 else rng.sample(words[:9], rng.randint(3, 9))
+        when = None if i == 5 else f"2026-01-{1 + rng.randint(0, 8):02}"
+        rows.append((f"r{i % 2}", f"c{i:03}", ("failed", "decision", "constraint", "state")[rng.randint(0, 3)], when, i, rng.sample(["a.ts", "b.ts"], rng.randint(0, 2)), own + own[:2] + [""], own[:5]))
+    return rows, spark.createDataFrame(rows, "request_id string, id string, type string, created_at string, n long, cluster array<string>, words array<string>, topic array<string>")
+
+
+def _pairs(c, left, right):
+    k = c.select("*", F.explode("cluster").alias("k"))
+    a = k.where(left).select("request_id", "k", *[F.col(x).alias(f"a_{x}") for x in ("id", "type", "created_at", "n", "words", "topic")])
+    b = k.where(right).select("request_id", "k", *[F.col(x).alias(f"b_{x}") for x in ("id", "type", "created_at", "n", "words", "topic")])
+    return a.join(b, ["request_id", "k"])
+
+
+def test_conflicts_and_invalidated_are_those_of_all_pairs(spark, monkeypatch):
+    for block in (16384, 7):  # one block a group, and many
+        monkeypatch.setattr(S, "SET_BLOCK", block)
+        _, c = _claims(spark, random.Random(block))
+        lasting = F.col("type").isin("decision", "constraint")
+        p = _pairs(c, lasting, lasting).where((F.col("a_n") < F.col("b_n")) & (F.col("a_type") == F.col("b_type"))).where(X.jaccard("a_words", "b_words") >= S.CONFLICT)
+        want = p.select("request_id", F.when(F.col("a_created_at") >= F.col("b_created_at"), F.col("b_id")).otherwise(F.col("a_id"))).distinct().collect()
+        got = [tuple(r) for r in A.conflicts(c).collect()]
+        assert sorted(got) == sorted(map(tuple, want)) and len(got) > 5
+        p = _pairs(c, F.col("type") == "failed", lasting).where("a_created_at > b_created_at").where(X.jaccard("a_topic", "b_topic") >= S.INVALIDATE)
+        got = [tuple(r) for r in A.invalidated(c).collect()]
+        assert sorted(got) == sorted(map(tuple, p.select("request_id", "b_id").distinct().collect())) and len(got) > 5
+        for df in (A.conflicts(c), A.invalidated(c)):
+            assert "Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similar_counts_large_sets_exactly():
     """Over 255 and over 65,535 shared values, and pieces of more than 512 sets."""
     sets = [np.arange(70000), np.arange(35000, 105000), np.arange(300), np.arange(100, 400), *[np.array([i, i + 1, 10**6]) for i in range(600)], np.array([], int)]
