@@ -15,11 +15,15 @@ def slashes(x) -> Column:
 
 def find_paths(x) -> Column:
     """Paths with a directory and an extension (P5)."""
-    return F.regexp_extract_all(slashes(x), F.lit(f"({rules.PATH})"), F.lit(1))
+    return F.when(~_slashed(x), strings(())).otherwise(F.regexp_extract_all(slashes(x), F.lit(f"({rules.PATH})"), F.lit(1)))
 
 
 def strip_paths(x) -> Column:
-    return F.regexp_replace(slashes(x), rules.PATH, " ")
+    return F.when(~_slashed(x), col(x)).otherwise(F.regexp_replace(slashes(x), rules.PATH, " "))
+
+
+def _slashed(x) -> Column:
+    return F.contains(col(x), F.lit("/")) | F.contains(col(x), F.lit("\\"))
 
 
 def path_keys(x) -> Column:

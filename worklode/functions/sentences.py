@@ -16,14 +16,15 @@ def split_sentences(x) -> Column:
 
 
 def skip_sentence(x) -> Column:
-    t = strip_left(trim(x), "\"“”'`")
-    return gates.skip_prose(x) | gates.list_chrome(t, F.size(find_paths(t)) == 0)
+    t = x.t if isinstance(x, gates.Said) else strip_left(trim(x), "\"“”'`")
+    return gates.skip_prose(x) | gates.list_chrome(t, F.size(find_paths(gates.raw(t))) == 0)
 
 
 def strip_failed_noise(x) -> Column:
     """C9."""
     s = F.regexp_replace(col(x), "`[^`]*`", " ")
-    return F.regexp_replace(F.regexp_replace(s, rules.TYPE_TALK, " "), rules.EXCEPTION_TO, " ")
+    # the first characters of the phrases, looked at before the phrases are
+    return F.regexp_replace(F.regexp_replace(s, "(?=[FfSsTtPpCcAa])" + rules.TYPE_TALK, " "), rules.EXCEPTION_TO, " ")
 
 
 def failed_only_in_ticks(x) -> Column:
@@ -33,15 +34,29 @@ def failed_only_in_ticks(x) -> Column:
 
 def is_question(x) -> Column:
     """C7."""
-    s = trim(x)
-    low = fold(s)
-    return s.endswith("?") | gates.contains_any(s, ("why don't you", "why dont you")) | low.rlike(rules.QUESTION)
+    s = x if isinstance(x, gates.Text) else trim(x)
+    return gates.raw(s).endswith("?") | gates.contains_any(s, ("why don't you", "why dont you")) | gates.low(s).rlike(rules.QUESTION)
+
+
+#: What no match of the pattern is without.
+_HARD = ("reject", "work", "compil", "failed", "failure", "pass", "threw", "dead end")
+_SOFT = ("revert", "abort")
+_CONSTRAINT = ("always", "never", "don't", "do not", "must", "we use")
+_HEDGE = ("think", "not sure", "maybe", "probably", "might", "we")
+_STATE = ("working on", "current plan", "next step", "now implementing")
+_DECISION = ("decided", "going with", "we'll use", "we will use", "picked ", "chose", "instead of", "prefer ", "stick with")
+
+
+def _said(x, pattern: str, parts) -> Column:
+    """The pattern in folded text, searched only where one of its parts stands."""
+    return gates.has_any(x, parts) & col(x).rlike(pattern)
 
 
 def is_decision(folded) -> Column:
     """C6."""
     first = F.lower(F.regexp_extract(col(folded), rules.USE_NOT, 1))
-    return col(folded).rlike(rules.DECISION) | ((first != "") & ~first.isin(*rules.USE_NOT_STOP))
+    used = F.contains(col(folded), F.lit("use")) & F.contains(col(folded), F.lit("not"))
+    return _said(folded, rules.DECISION, _DECISION) | (used & (first != "") & ~first.isin(*rules.USE_NOT_STOP))
 
 
 _EDGE = ".,;:()[]\"'"
@@ -49,7 +64,7 @@ _EDGE = ".,;:()[]\"'"
 
 def grounded_failed(x, paths) -> Column:
     """Has a path, a tick or bold mark, a capitalised name, or says what failed."""
-    s = col(x)
+    s = gates.raw(x)
     words = F.transform(fields(s), lambda w: strip_chars(w, _EDGE))
     fail = lambda w: F.lower(w).isin(*rules.FAIL_WORDS)
     follows = lambda i: F.lower(F.coalesce(F.get(words, i + 1), F.lit(""))).isin("to", "during", "again", "on")
@@ -62,24 +77,29 @@ def grounded_failed(x, paths) -> Column:
 
     named = F.exists(F.transform(words, grounded), lambda b: b)
     own = F.size(filter_paths(find_paths(s))) > 0
-    return (F.size(col(paths)) > 0) | own | (~gates.status_failed(s) & ~gates.failed_as_object(s) & (s.rlike(r"`|\*\*") | named))
+    return (F.size(col(paths)) > 0) | own | (~gates.status_failed(x) & ~gates.failed_as_object(x) & (s.rlike(r"`|\*\*") | named))
+
+
+def probe(folded) -> Column:
+    """Folded text without paths and talk about types."""
+    return strip_failed_noise(strip_paths(folded))
 
 
-def classify(x, error, role) -> Column:
-    """C4: failed, decision, constraint, state, or null; the first that holds."""
-    s = col(x)
-    folded = fold(s)
-    probe = strip_failed_noise(strip_paths(folded))
+def classify(x, error, role, probed=None) -> Column:
+    """C4: failed, decision, constraint, state, or null; the first that holds. ``probed``: ``probe`` of the folded text, where it is a column."""
+    s = x if isinstance(x, gates.Text) else col(x)
+    folded = gates.low(s)
+    bare = probe(folded) if probed is None else col(probed)
     meta, decision, planning = gates.meta_failed_talk(s), is_decision(folded), gates.planning(s)
-    soft = probe.rlike(rules.SOFT_FAILED) & ~meta
-    constraint = folded.rlike(rules.CONSTRAINT) & (col(role) == "user") & ~folded.rlike(rules.HEDGE) & ~gates.session_op(s) & ~gates.agent_prompt(s) & ~gates.constraint_fragment(s)
+    soft = _said(bare, rules.SOFT_FAILED, _SOFT) & ~meta
+    constraint = (col(role) == "user") & _said(folded, rules.CONSTRAINT, _CONSTRAINT) & ~_said(folded, rules.HEDGE, _HEDGE) & ~gates.session_op(s) & ~gates.agent_prompt(s) & ~gates.constraint_fragment(s)
     return (
         F.when(is_question(s), F.lit(None).cast("string"))
-        .when(probe.rlike(rules.HARD_FAILED) & ~meta, "failed")
+        .when(_said(bare, rules.HARD_FAILED, _HARD) & ~meta, "failed")
         .when(decision & ~planning & ~gates.narrative_decision(s), "decision")
         .when((col(error) | soft) & ~(decision & ~planning), "failed")
         .when(constraint, "constraint")
-        .when(folded.rlike(rules.STATE), "state")
+        .when(_said(folded, rules.STATE, _STATE), "state")
     )
 
 
