@@ -2,6 +2,7 @@
 
 import random
 
+from worklode import queries as Q
 from worklode.functions import gates, rules
 
 
@@ -15,3 +16,11 @@ def test_a_tree_finds_what_the_phrases_do(spark):
         texts += ["".join(rng.choice(phrases)[: rng.randint(1, 9)] for _ in range(4)) for _ in range(200)]
         rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gates.has_any("t", phrases).alias("got")).collect()
         assert [(r.t, any(p in r.t for p in phrases)) for r in rows] == [(r.t, r.got) for r in rows]
+
+
+def test_noise_judges_a_sentence_once_for_all_types(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "It failed. We chose x.")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = Q.QUERIES["noise"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = plan[: next(i for i, x in enumerate(plan) if "Generate explode([failed" in x)]
+    assert above and not any("RLIKE" in x for x in above) and df.where("text = 'We chose x.'").count() == 5

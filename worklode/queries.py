@@ -274,8 +274,12 @@ _ITEM = f"CASE WHEN {G.has('t', r'\A[-*] ')} THEN {G.trim('substr(t, 3)')} WHEN
 def noise(spark, d):
     """The gate at reading time over sentences, for every type."""
     said = messages_view(spark, d).select(F.explode(C.split_sentences("text")).alias("text")).union(_samples(spark).select("text")).distinct()
-    rows = said.select(F.trim("text").alias("text"), F.explode(X.strings(TYPES)).alias("kind")).withColumn("paths", P.find_paths("text"))
-    return rows.select("text", "kind", store.is_noise("kind").alias("noise"), C.grounded_failed("text", "paths").alias("grounded"))
+    # a sentence is judged once, not for every type
+    rows, text = gates.held(said.select(F.trim("text").alias("text")).withColumn("paths", P.find_paths("text")), "text")
+    by = store.noise_gates(text)
+    rows = rows.select("text", *[g.alias(k) for k, g in by.items()], C.grounded_failed("text", "paths").alias("grounded"))
+    rows = rows.select("*", F.explode(X.strings(TYPES)).alias("kind"))
+    return rows.select("text", "kind", store.of_type({k: k for k in by}, "kind").alias("noise"), "grounded")
 
 
 @query(
