@@ -4,6 +4,7 @@ import random
 
 from worklode import queries as Q
 from worklode.functions import gates, rules
+from worklode.operators import extract
 
 
 def test_a_tree_finds_what_the_phrases_do(spark):
@@ -24,3 +25,11 @@ def test_noise_judges_a_sentence_once_for_all_types(spark, tmp_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     above = plan[: next(i for i, x in enumerate(plan) if "Generate explode([failed" in x)]
     assert above and not any("RLIKE" in x for x in above) and df.where("text = 'We chose x.'").count() == 5
+
+
+def test_forms_of_a_sentence_are_made_once(spark):
+    """Each gate folded and trimmed the sentence anew."""
+    m = spark.createDataFrame([("p", "s", "cli", "turn", 0, "user", "Redis failed again in a/b.go.", False, False)], "project_key string, session_id string, harness string, source string, offset long, role string, text string, error boolean, skip boolean")
+    df = extract.judged_sentences(m, typed=True)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(lower") < 20
+    assert [(r.type, r.reason) for r in df.collect()] == [("failed", None)] and not [c for c in df.columns if c.startswith("_")]

@@ -42,6 +42,11 @@ def with_nearby(messages: DataFrame) -> DataFrame:
     return out.withColumn("near", near).drop("_own", "_three")
 
 
+def _here(c: Column) -> Column:
+    """``c``, made in this step only: a filter on it is not moved below, where all its parts would be made again for each use."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def judged_sentences(messages: DataFrame, typed: bool = False) -> DataFrame:
     """Every sentence of usable, non-tool messages with its type and, if it is no claim, the reason.
 
@@ -54,24 +59,25 @@ def judged_sentences(messages: DataFrame, typed: bool = False) -> DataFrame:
     size = F.octet_length("sentence")
     if typed:
         s = s.where(size.between(12, 600))
-    s = s.withColumn("type", C.classify("sentence", "error", "role"))
+    s, said = gates.held(s, "sentence")
+    s = s.withColumn("_probe", C.probe(said.s.low)).withColumn("type", _here(C.classify(said.s, "error", "role", "_probe")))
     if typed:
         s = s.where("type is not null")
     s = s.withColumn("paths", P.filter_paths(X.uniq(F.concat(P.find_paths("sentence"), F.col("near")))))
     failed = F.col("type") == "failed"
     reason = (
-        F.when(gates.skip_prose("sentence"), "skip-prose")
-        .when(C.skip_sentence("sentence"), "list-chrome")
-        .when((F.col("type") == "state") & gates.process_state("sentence"), "process-state")
-        .when(failed & gates.status_failed("sentence"), "status-failed")
-        .when(failed & gates.failed_as_object("sentence"), "failed-as-object")
-        .when(failed & ~C.grounded_failed("sentence", "paths"), "ungrounded-failed")
+        F.when(gates.skip_prose(said), "skip-prose")
+        .when(C.skip_sentence(said), "list-chrome")
+        .when((F.col("type") == "state") & gates.process_state(said.s), "process-state")
+        .when(failed & gates.status_failed(said.s), "status-failed")
+        .when(failed & gates.failed_as_object(said.s), "failed-as-object")
+        .when(failed & ~C.grounded_failed(said.s, "paths"), "ungrounded-failed")
         .when(F.col("type").isNull(), "untyped")
         .when(F.col("type").isin("state", "thread") & ~F.col("tail"), "state-not-in-tail")
         .when((size < 12) | (size > 600), "length")
         .when(P.drop_claim("sentence", "paths"), "redact")
     )
-    return s.withColumn("reason", reason)
+    return s.withColumn("reason", _here(reason)).drop(*[c for c in s.columns if c.startswith("_sentence_")], "_probe")
 
 
 def cap(rows: list[dict]) -> list[dict]:
