@@ -20,7 +20,7 @@ from worklode.functions import text as X
 from worklode.operators import store
 from worklode.plans import blocks, pack
 from worklode.plans.cut import cut
-from worklode.plans.index import Index, search
+from worklode.plans.index import Index, few, search
 
 def query_symbols(tokens: Column) -> Column:
     """Identifiers among tokens, with aliases, first seen."""
@@ -158,7 +158,7 @@ def key_hits(keys: DataFrame, ix: Index, kinds=(_PATH, _SYMBOL)) -> DataFrame:
     """(request_id, kind, key_pos, id, type) of the records with a key: paths and symbols in one join."""
     both = [p.withColumn("kind", F.lit(k)) for k, p in ((_PATH, ix.paths), (_SYMBOL, ix.symbols)) if k in kinds]
     postings = both[0] if len(both) == 1 else both[0].unionByName(both[1])
-    return keys.join(postings, ["project_key", "kind", "key"]).select("request_id", "kind", "key_pos", F.col("record_id").alias("id"), "type")
+    return postings.join(few(keys), ["project_key", "kind", "key"]).select("request_id", "kind", "key_pos", F.col("record_id").alias("id"), "type")
 
 
 def first_hits(hits: DataFrame, by: list[str], per: int, total: int) -> DataFrame:
@@ -200,15 +200,14 @@ def vector_hits(q: DataFrame, vectors: DataFrame, claims: DataFrame, cap: int =
 def candidates(q: DataFrame, ix: Index, vectors: DataFrame | None = None):
     """(candidates, full-text scores, cosines, hop paths) of all requests."""
     head, rest = q.where("head"), q.where("not head")
-    names = q.select("request_id", "project_key")
     priority = head.join(store.head_priority(ix.claims), "project_key").select("request_id", "id", "pos")
     few = priority.groupBy("request_id").agg(F.count(F.lit(1)).alias("k"))
     states = store.by_type(ix.claims, "state", S.COLD_STATE_CAP)
     states = states.withColumn("pos", F.row_number().over(Window.partitionBy("project_key").orderBy(F.desc("created_at"), F.desc("seq"))))
     cold = head.join(few, "request_id", "left").where(F.coalesce("k", F.lit(0)) < S.COLD_PRIORITY_CAP).join(states.select("project_key", "id", "pos"), "project_key").select("request_id", "id", "pos")
 
-    terms = rest.select("request_id", F.explode("lookup").alias("_t")).select("request_id", F.explode(X.index_terms("_t")).alias("term")).distinct()
-    fts = search(terms, ix.terms, ix.n, ix.mean_len).join(names, ["request_id", "project_key"])
+    terms = rest.select("request_id", "project_key", F.explode("lookup").alias("_t")).select("request_id", "project_key", F.explode(X.index_terms("_t")).alias("term")).distinct()
+    fts = search(terms, ix.terms, ix.n, ix.mean_len)
     w = Window.partitionBy("request_id").orderBy(F.desc("bm25"), "record_id")
     fts = fts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= S.FTS_CAP).select("request_id", F.col("record_id").alias("id"), "bm25", "pos")
     hits = key_hits(_keys(rest, "path_keys", _PATH).unionByName(_keys(rest, "symbols", _SYMBOL)), ix)

@@ -11,6 +11,9 @@ from worklode.functions import paths as P
 from worklode.functions import text as X
 from worklode.plans.cut import cut
 
+#: Rows of requests that are broadcast.
+SENT = 1 << 16
+
 
 def bodies(claims: DataFrame, status: str | None = "active") -> DataFrame:
     """(record_id, project_key, body): text, symbols, path keys and their stems of active claims, or of all."""
@@ -80,9 +83,17 @@ def bm25(tf, df, doc_len, n, mean_len):
     return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / F.lit(float(mean_len))))
 
 
+def few(df: DataFrame, n: int = SENT) -> DataFrame:
+    """A relation of requests, to be sent to what grows if it has at most ``n`` rows; so no key that many records share gathers them in a task."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= n else df
+
+
 def search(queries: DataFrame, index_terms: DataFrame, n: int, mean_len: float) -> DataFrame:
-    """(request_id, record_id, project_key, bm25) of any claim with a term of (request_id, term) rows."""
-    wanted = index_terms.join(queries.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    hit = queries.join(wanted, "term").join(df, "term")
+    """(request_id, record_id, project_key, bm25) of any claim with a term of (request_id, term) rows, or of the row's project if it has one."""
+    terms = few(queries.select("term").distinct())
+    wanted = index_terms.join(terms, "term", "left_semi")
+    df = few(wanted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")))
+    on = ["term", "project_key"] if "project_key" in queries.columns else ["term"]
+    hit = wanted.join(few(queries), on).join(df, "term")
     return hit.groupBy("request_id", "record_id", "project_key").agg(F.sum(bm25(F.col("tf"), F.col("df"), F.col("doc_len"), n, mean_len)).alias("bm25"))
